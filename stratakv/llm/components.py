@@ -11,19 +11,21 @@ from stratakv.llm.common import cut
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v) long -> (node, root), root being the smallest node reachable; one row for each node of an edge.
 
-    Each round maps every node to the smallest of its closed neighbourhood, replaces the edges' ends by
-    those, and drops loops and repeats. The surviving edges shrink geometrically, and so does what each round
-    shuffles. Minima are pre-aggregated before the shuffle, so a hub costs no task more than another. Round
-    maps and edges are cut at the shared checkpoint folder; a lost executor costs one round at most.
-    An empty edge list gives an empty result; loops and repeated edges change nothing; null ends are dropped.
+    Each round gives the nodes new pseudorandom priorities, maps every node to the first of its closed
+    neighbourhood, replaces the edges' ends by those, and drops loops and repeats. So the nodes left shrink by a
+    constant factor in expectation, chains included. Minima are pre-aggregated before the shuffle: a hub costs
+    no task more than another. Maps and edges are cut at the shared checkpoint folder; a lost executor costs
+    one round at most. An empty edge list gives an empty result; loops and repeated edges change nothing; edges
+    with a null end are dropped.
     """
     edges = cut(edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct())
     whole: DataFrame | None = None
-    for _ in range(rounds):
+    for k in range(rounds):
         if edges.isEmpty():
             break
         ends = edges.select(F.col("u").alias("node"), F.col("v").alias("near")).union(edges.select("v", "u"))
-        step = cut(ends.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("root")))
+        first = F.least(F.min(F.struct(F.xxhash64("near", F.lit(k)).alias("p"), F.col("near").alias("n"))), F.struct(F.xxhash64("node", F.lit(k)).alias("p"), F.col("node").alias("n")))
+        step = cut(ends.groupBy("node").agg(first.alias("m")).select("node", F.col("m.n").alias("root")))
         onto = step.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         edges = edges.join(onto, "u").select("ru", "v")
         edges = edges.join(onto.toDF("v", "rv"), "v").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"))
@@ -36,4 +38,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         if not edges.isEmpty():
             raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return whole if whole is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    if whole is None:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    least = whole.groupBy("root").agg(F.min("node").alias("first"))
+    return whole.join(least, "root").select("node", F.least("first", "root").alias("root"))
