@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import simhash
+from stratakv.llm import chat, flac, quality, secrets, simhash, tokens
 from stratakv.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,37 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: 4-word shingles, links at 4 or fewer differing bits."""
     found = simhash.near_dups(table(spark, sf_dir, "documents"), size=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted: trees learnt from at most quality.SAMPLE labelled rows that are not held out."""
+    found = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", F.col("quality_score").alias("score"), "predicted")
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every whole text."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as a FLAC stream, and what the stored bytes decode to."""
+    return flac.features(flac.store(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says the template's own control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.digests(chat.format_chats(turns.unionByName(own)))
