@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import chat, flac, quality, secrets, simhash, tokens
+from stratakv.llm import chat, flac, mixing, quality, sampling, secrets, simhash, tokens
 from stratakv.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +48,7 @@ def op5_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
 @query
@@ -58,3 +58,15 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
     return chat.digests(chat.format_chats(turns.unionByName(own)))
+
+
+@query
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken: all documents mixed to 150% of their words."""
+    return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as sampled pieces, and what they decode to."""
+    return sampling.digests(table(spark, sf_dir, "documents"))

@@ -65,16 +65,17 @@ def matches(text: Column) -> Column:
     return F.concat(*[located(kind, *rest) for kind, rest in enumerate(kinds(text))])
 
 
-def scan(docs: DataFrame, scope: int = SCOPE, text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, scope: int = SCOPE, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc struct, spans array<struct<start,ord,stop,kind,before>>): a row for each row of docs.
 
-    doc holds the row as it was, so that no name can clash. Spans are those reported, by start and then kind, with code points and
+    doc holds the row as it was, or its columns in `keep`, so that no name can clash. Spans are those reported, by start and then kind, with code points and
     an exclusive stop; `before` is the furthest stop of the spans before. Null texts count as empty. Repeated rows
     and null ids are rows of their own. An empty table gives no rows.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
-    text = F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))
-    spread = rows.select("row", "doc", F.posexplode_outer(matches(text)).alias("pos", "m"))
+    doc = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns])
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    spread = docs.select(F.monotonically_increasing_id().alias("row"), doc.alias("doc"), matches(text).alias("m"))
+    spread = spread.select("row", "doc", F.posexplode_outer("m").alias("pos", "m"))
     kept = F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("doc"))  # once for each row
     spread = spread.select("row", kept.alias("doc"), "m.*").repartition("row")
     order = Window.partitionBy("row", "kind").orderBy("nth")
