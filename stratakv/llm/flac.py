@@ -8,6 +8,7 @@ gives PCM blocks with their sample offsets, and the encoder writes a seek table,
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -78,7 +79,8 @@ def _far(n: int) -> np.ndarray:
 def crc16(data: np.ndarray) -> int:
     """By linearity: each byte's share depends on its distance from the end only."""
     n = len(data)
-    return int(np.bitwise_xor.reduce(_far(n)[np.arange(n - 1, -1, -1), data])) if n else 0
+    table = _far(n)
+    return int(np.bitwise_xor.reduce(table.ravel()[np.arange(256 * (n - 1), -1, -256) + data])) if n else 0
 
 
 # ---------------------------------------------------------------- encoder
@@ -112,19 +114,25 @@ def fold(residual: np.ndarray) -> np.ndarray:
 
 
 def predictor(samples: np.ndarray) -> tuple[list[int], int] | None:
-    """Quantised coefficients and shift by the autocorrelation method; None if there is nothing to predict."""
-    x = samples.astype(float)
-    lags = np.array([x[: len(x) - k] @ x[k:] for k in range(ORDER + 1)])
-    if lags[0] <= 0:
-        return None
-    matrix = lags[np.abs(np.subtract.outer(np.arange(ORDER), np.arange(ORDER)))] + np.eye(ORDER) * lags[0] * 1e-6
-    weights = np.linalg.solve(matrix, lags[1:])
-    most = float(np.abs(weights).max())
+    """Quantised coefficients and shift by the autocorrelation method; None if there is nothing to predict.
+
+    Exact lags and the recursion in plain floats: the same bytes on every machine.
+    """
+    n = len(samples)
+    lags = [int(samples[: n - k] @ samples[k:]) for k in range(ORDER + 1)]
+    left, weights = float(lags[0]) * (1 + 1e-9), [0.0] * ORDER
+    for i in range(ORDER):
+        if left <= 0:
+            return None
+        mirror = (lags[i + 1] - sum(weights[j] * lags[i - j] for j in range(i))) / left
+        weights[: i + 1] = [weights[j] - mirror * weights[i - 1 - j] for j in range(i)] + [mirror]
+        left *= 1 - mirror * mirror
+    most = max(map(abs, weights))
     if not 1e-6 < most < 100:
         return None
-    shift = min(15, PRECISION - 2 - int(np.floor(np.log2(most))))
+    shift = min(15, PRECISION - 1 - math.frexp(most)[1])
     limit = (1 << (PRECISION - 1)) - 1
-    return [int(c) for c in np.clip(np.rint(weights * (1 << shift)), -limit - 1, limit)], shift
+    return [max(-limit - 1, min(limit, round(w * (1 << shift)))) for w in weights], shift
 
 
 def predicted(samples: np.ndarray, weights: list[int], shift: int) -> np.ndarray:
@@ -142,11 +150,13 @@ def subframe(samples: np.ndarray) -> np.ndarray:
         return np.concatenate([bits_of(0, 8), bits_of(int(samples[0]) & 0xFF, 8)])
     verbatim = 8 + 8 * n
     options: list[tuple[int, int, list[int], int, np.ndarray]] = []
-    for order, weights in enumerate(FIXED):
-        if n > order:
-            folded = fold(samples[order:] - predicted(samples, weights, 0))
-            bits, k = best_rice(folded)
-            options.append((8 + 8 * order + 10 + bits, k, weights, -1, folded))
+    steps = [samples]
+    while len(steps) < len(FIXED) and len(steps[-1]) > 1:
+        steps.append(np.diff(steps[-1]))
+    order = min(range(len(steps)), key=lambda k: int(np.abs(steps[k]).sum()))
+    folded = fold(steps[order])
+    bits, k = best_rice(folded)
+    options.append((8 + 8 * order + 10 + bits, k, FIXED[order], -1, folded))
     if n > 4 * ORDER and (linear := predictor(samples)):
         folded = fold(samples[ORDER:] - predicted(samples, *linear))
         bits, k = best_rice(folded)
@@ -227,21 +237,20 @@ def parse(data: bytes) -> Stream:
 
 
 class Words:
-    """64 bits at any bit position of a byte string, for many positions at once."""
+    """Bits at any position of a byte string, for many positions at once."""
 
     def __init__(self, data: np.ndarray) -> None:
-        wide = np.concatenate([data, np.zeros(9, dtype=np.uint8)])
+        self.data = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
         self.n = len(data)
-        self.data = wide
-        self.by_byte = np.lib.stride_tricks.as_strided(wide[:8].view(">u8"), shape=(self.n + 1,), strides=(1,)).astype(np.uint64)
+        self.by_byte = np.lib.stride_tricks.as_strided(self.data[:8].view(">u8"), shape=(self.n + 8,), strides=(1,)).astype(np.uint64)
 
     def at(self, bit: np.ndarray) -> np.ndarray:
-        byte = np.minimum(bit >> 3, self.n)
-        low = (bit & 7).astype(np.uint64)
-        return (self.by_byte[byte] << low) | (self.data[np.minimum(byte + 8, self.n + 8)].astype(np.uint64) >> (np.uint64(8) - low))
+        """The 57 bits from each position on, at the top of 64."""
+        return self.by_byte[np.minimum(bit >> 3, self.n)] << (bit & 7).astype(np.uint64)
 
     def take(self, bit: int, width: int) -> int:
-        return int(self.at(np.array([bit]))[0] >> np.uint64(64 - width)) if width else 0
+        some = int.from_bytes(self.data[bit >> 3 : (bit + width + 7) >> 3].tobytes(), "big")
+        return some >> (-(bit + width) & 7) & ((1 << width) - 1)
 
 
 #: Zeros before the first one in 16 bits; 16 for none.
@@ -250,17 +259,24 @@ for _bit in range(16):
     _ZEROS[1 << _bit : 2 << _bit] = 15 - _bit
 
 
-def leading_zeros(words: Words, bit: np.ndarray) -> np.ndarray:
-    """Zeros before the next one from each position on."""
-    out = _ZEROS[(words.at(bit) >> np.uint64(48)).astype(np.int64)]
-    far = np.flatnonzero(out == 16)
-    while len(far):
-        if (bit[far] + out[far] >= 8 * words.n).any():
+def rice_codes(words: Words, bit: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(folded residual, bit after it) of the Rice codes with parameters k at the positions."""
+    window = words.at(bit)
+    zeros = _ZEROS[(window >> np.uint64(48)).astype(np.int64)]
+    low = window << (zeros + 1).astype(np.uint64)
+    far = np.flatnonzero(zeros == 16)
+    open_ = far
+    while len(open_):
+        more = bit[open_] + zeros[open_]
+        if (more >= 8 * words.n).any():
             raise FlacError("a unary code runs over the end")
-        more = _ZEROS[(words.at(bit[far] + out[far]) >> np.uint64(48)).astype(np.int64)]
-        out[far] += more
-        far = far[more == 16]
-    return out
+        some = _ZEROS[(words.at(more) >> np.uint64(48)).astype(np.int64)]
+        zeros[open_] += some
+        open_ = open_[some == 16]
+    if len(far):
+        low[far] = words.at(bit[far] + zeros[far] + 1)
+    folded = (zeros << k) | ((low >> np.uint64(1)) >> (63 - k).astype(np.uint64)).astype(np.int64)
+    return folded, bit + zeros + 1 + k
 
 
 @dataclass
@@ -352,48 +368,36 @@ def walk(words: Words, jobs: list[Open], out: np.ndarray, ends: np.ndarray) -> N
     """One sample of every open frame a step. jobs: longest first, so that the open ones are always a prefix."""
     most = max(1, max(j.order for j in jobs))
     bit = np.array([j.bit for j in jobs])
-    row = np.array([j.row for j in jobs])
-    order = np.array([j.order for j in jobs])
     shift = np.array([j.shift for j in jobs])
     todo = np.array([j.n - j.order for j in jobs])
-    weights = np.zeros((most, len(jobs)), dtype=np.int64)
-    past = np.zeros((most, len(jobs)), dtype=np.int64)
+    weights = np.zeros((most, len(jobs)), dtype=np.int64)  # of the oldest sample first
+    made = np.zeros((most + int(todo[0]), len(jobs)), dtype=np.int64)
+    begins: dict[int, list[int]] = {}
     for k, j in enumerate(jobs):
-        weights[: j.order, k] = j.weights
-        past[: j.order, k] = out[j.row, : j.order][::-1]
-    part = np.full(len(jobs), -1)
-    until = np.zeros(len(jobs), dtype=np.int64)
+        weights[most - j.order :, k] = j.weights[::-1]
+        made[most - j.order : most, k] = out[j.row, : j.order]
+        at = 0
+        for n in j.parts:
+            begins.setdefault(at, []).append(k)
+            at += n
     rice = np.zeros(len(jobs), dtype=np.int64)
-    flat = np.zeros((int(todo.max()), len(jobs)), dtype=np.int64)
-    open_now = len(jobs)
+    m = len(jobs)
     for step in range(int(todo[0])):
-        while todo[open_now - 1] <= step:
-            open_now -= 1
-        m = open_now
-        for k in np.flatnonzero(until[:m] == step):
-            while until[k] == step:  # a partition may be empty
-                part[k] += 1
-                j = jobs[k]
-                rice[k] = words.take(int(bit[k]), j.wide)
-                bit[k] += j.wide
-                until[k] += j.parts[part[k]]
-                if rice[k] == (1 << j.wide) - 1:
+        while todo[m - 1] <= step:
+            m -= 1
+        for k in begins.get(step, ()):  # a partition may be empty, and then another follows at once
+            if k < m:
+                wide = jobs[k].wide
+                rice[k] = words.take(int(bit[k]), wide)
+                bit[k] += wide
+                if rice[k] == (1 << wide) - 1:
                     raise FlacError("unencoded partitions are not read")
-        at, k = bit[:m], rice[:m]
-        zeros = leading_zeros(words, at)
-        start = at + zeros + 1
-        low = (words.at(start) >> np.uint64(1)) >> (np.uint64(63) - k.astype(np.uint64))
-        folded = (zeros << k) | low.astype(np.int64)
-        bit[:m] = start + k
-        total = (weights[:, :m] * past[:, :m]).sum(axis=0) >> shift[:m]
-        now = total + ((folded >> 1) ^ -(folded & 1))
-        past[1:, :m] = past[:-1, :m].copy()
-        past[0, :m] = now
-        flat[step, :m] = now
+        folded, bit[:m] = rice_codes(words, bit[:m], rice[:m])
+        total = (weights[:, :m] * made[step : step + most, :m]).sum(axis=0) >> shift[:m]
+        made[step + most, :m] = total + ((folded >> 1) ^ -(folded & 1))
     for k, j in enumerate(jobs):
-        out[j.row, j.order : j.n] = flat[: j.n - j.order, k]
-    ends[row] = bit
-    del order
+        out[j.row, j.order : j.n] = made[most : most + j.n - j.order, k]
+        ends[j.row] = bit[k]
 
 
 def decode_many(streams: list[bytes], frames_at_once: int = 2048) -> list[bytes]:
@@ -487,7 +491,7 @@ def features(stored: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2 << 20):
+            for part in slices(batch, 6 << 20):
                 media = part.column(2).to_pylist()
                 payloads = decode_many(media)
                 columns = [
