@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import chat, flac, mixing, quality, sampling, secrets, simhash, tokens
+from stratakv.llm import ann, chat, flac, mixing, quality, sampling, secrets, simhash, tokens
 from stratakv.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as sampled pieces, and what they decode to."""
     return sampling.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_ann_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: 10 nearest found of the rows whose vec_id is divisible by 100, among all rows."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), k=10, every=100)
