@@ -83,18 +83,18 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, domain, action, since: every page against a dated list.
 
     The tables hold neither lists nor fetch times, so both are made by rule: a page was fetched on 2020-01-01 plus
-    page_id * 7919 mod 1461 days. Of every host, less a leading www., m. or blog., whose first letter is odd in
-    ASCII a history is listed: blocked from a day on, lifted 200 days later if its length is even, allowed after
-    500 days if its length is divisible by 3.
+    page_id * 7919 mod 1461 days. Of every host, less a leading www., m. or blog., for which first letter's code plus
+    length is odd a history is listed: blocked from a day on, lifted 200 days later if its length is 1 mod 3, allowed after
+    500 days if it is divisible by 3.
     """
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     fetched = F.date_add(F.lit("2020-01-01").cast("date"), F.pmod(F.col("page_id") * 7919, F.lit(1461)).cast("int"))
     names = pages.select(F.regexp_replace(urls.host(F.col("url")), r"^(www|m|blog)\.", "").alias("domain")).where("domain is not null").distinct()
-    names = names.where(F.ascii("domain") % 2 == 1)
+    names = names.where((F.ascii("domain") + F.length("domain")) % 2 == 1)
     first = F.date_add(F.lit("2020-01-01").cast("date"), F.pmod(F.ascii("domain") * 37 + F.length("domain") * 101, F.lit(1461)).cast("int"))
     begun = names.withColumn("first", first)
     entries = begun.select("domain", F.lit("block").alias("action"), F.col("first").alias("since"))
-    entries = entries.union(begun.where(F.length("domain") % 2 == 0).select("domain", F.lit(urls.LIFT), F.date_add("first", 200)))
+    entries = entries.union(begun.where(F.length("domain") % 3 == 1).select("domain", F.lit(urls.LIFT), F.date_add("first", 200)))
     entries = entries.union(begun.where(F.length("domain") % 3 == 0).select("domain", F.lit("allow"), F.date_add("first", 500)))
     found = urls.decide(pages.withColumn("fetched", fetched), entries)
     return found.select(F.col("capture.page_id").alias("page_id"), "host", "domain", "action", "since")
@@ -109,10 +109,10 @@ names AS (
   SELECT DISTINCT regexp_replace(host, '^(www|m|blog)\.', '') AS domain FROM captures WHERE host IS NOT NULL),
 begun AS (
   SELECT domain, CAST(date '2020-01-01' + CAST((ascii(domain) * 37 + length(domain) * 101) % 1461 AS INTEGER) AS DATE) AS first
-  FROM names WHERE ascii(domain) % 2 = 1),
+  FROM names WHERE (ascii(domain) + length(domain)) % 2 = 1),
 entries AS (
   SELECT domain, 'block' AS action, first AS since FROM begun
-  UNION ALL SELECT domain, 'lift', CAST(first + 200 AS DATE) FROM begun WHERE length(domain) % 2 = 0
+  UNION ALL SELECT domain, 'lift', CAST(first + 200 AS DATE) FROM begun WHERE length(domain) % 3 = 1
   UNION ALL SELECT domain, 'allow', CAST(first + 500 AS DATE) FROM begun WHERE length(domain) % 3 = 0),
 intervals AS (
   SELECT domain, action, since, lead(since) OVER (PARTITION BY domain ORDER BY since) AS until FROM entries),

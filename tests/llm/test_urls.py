@@ -47,7 +47,8 @@ def test_decide(spark):
     assert {r.action for r in urls.decide(df, listed.where("false")).collect()} == {None}
 
 
-def test_oracle(spark, sf):
+def test_oracle(spark):
+    sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
     expect = con.execute(ORACLE_SQL["op6_url_filters"])
