@@ -2,7 +2,7 @@
 
 The lattice of a text factorises at words that no piece spans, so the forward sums are computed once for each
 distinct word and kept by the worker. Sampling walks all words of a batch backwards in lockstep: each step draws one
-arc for every word still open, by a binary search in the cumulative weights of the arcs. Draws are a hash of
+arc for every word still open, by the cumulative weights of the arcs that end where it stands. Draws are a hash of
 the row's key, the word's place and the step, so that a row is segmented alike on every run and machine.
 
 A piece of rank r weighs (r + 2) ** -sharpness, the rank being the model's order of merges. Characters without a
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,15 @@ from stratakv.llm.pieces import BYTE, NORMAL, SPACE, model_bytes, processor, voc
 
 SHARPNESS = 1.0
 #: Arcs that a worker keeps; beyond that it starts anew.
-REMEMBERED = 4_000_000
+REMEMBERED = 6_000_000
+#: Characters of new words that are filtered at once.
+AT_ONCE = 100_000
+#: Factors of the two hashes by which runs of characters are looked up; both have to agree.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def code_hashes(text: str) -> np.ndarray:
+    return mixed(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
 
 class Lattice:
@@ -43,14 +52,27 @@ class Lattice:
         self.rare = float((2.0 + self.size) ** -sharpness)
         self.longest = max(map(len, self.pieces))
         self.pattern = word_pattern(model)
+        self.tables = [self.table_of([p for p in self.pieces if len(p) == n]) for n in range(1, self.longest + 1)]
         self.clear()
 
+    def table_of(self, some: list[str]) -> tuple[np.ndarray, ...]:
+        """(first hash ascending, second hash, id, log weight, filter) of pieces of one length."""
+        n = len(some[0]) if some else 1
+        codes = code_hashes("".join(some)).reshape(-1, n)
+        powers = [np.array([pow(f, n - 1 - k, 1 << 64) for k in range(n)], dtype=np.uint64) for f in FACTORS]
+        first, second = ((codes * w).sum(axis=1, dtype=np.uint64) for w in powers)
+        order = np.argsort(first)
+        found = [self.pieces[p] for p in some]
+        maybe = np.zeros(1 << 17, dtype=bool)  # by the first hash's top bits: most runs of characters are no piece
+        maybe[first >> np.uint64(47)] = True
+        return first[order], second[order], np.array([i for i, _ in found], dtype=np.int32)[order], np.log(np.array([w for _, w in found]))[order], maybe
+
     def clear(self) -> None:
         self.ends: dict[str, int] = {}
         self.spelt: dict[str, int] = {}
         self.spellings: list[list[int]] = []
         self.nodes = self.arcs = 0
-        self.reach, self.before, self.piece = np.empty(1024), np.empty(1024, dtype=np.int64), np.empty(1024, dtype=np.int64)
+        self.reach, self.before, self.piece, self.first = np.empty(1024), *(np.empty(1024, dtype=np.int32) for _ in range(3))
 
     def spell(self, char: str) -> int:
         """The id of a character without a piece: its byte piece, or a number from `size` on for several."""
@@ -62,69 +84,101 @@ class Lattice:
             self.spellings.append([int(self.byte[b]) for b in raw])
         return self.spelt[char]
 
-    def add(self, word: str) -> int:
-        """Forward filtering of a word; gives its last node."""
-        sums, reach, before, piece = [1.0], [], [], []
-        first = self.nodes
-        for j in range(1, len(word) + 1):
-            arcs = []
-            for i in range(max(0, j - self.longest), j):
-                found = self.pieces.get(word[i:j])
-                if found:
-                    arcs.append((i, found[0], sums[i] * found[1]))
-            if not arcs or arcs[-1][0] != j - 1:
-                if word[j - 1] not in self.pieces:
-                    arcs.append((j - 1, self.spell(word[j - 1]), sums[j - 1] * self.rare))
-            total = sum(a[2] for a in arcs)
-            run = 0.0
-            for i, p, w in arcs:
-                run += w
-                reach.append(first + j - 1 + run / total)
-                before.append(first + i - 1 if i else -1)
-                piece.append(p)
-            reach[-1] = float(first + j)
-            if total < 1e-200:  # only ratios matter
-                sums = [s / total for s in sums]
-                total = 1.0
-            sums.append(total)
-        n = len(reach)
+    def add(self, words: list[str]) -> None:
+        """Forward filtering of new words: all of them a character at a time, in logarithms."""
+        words = sorted(words, key=len, reverse=True)
+        size = np.array([len(w) for w in words])
+        text = "".join(words)
+        start = np.cumsum(size) - size
+        rank = np.arange(len(text)) - np.repeat(start, size) + 1
+        ids = np.full((len(text), self.longest), -1, dtype=np.int32)
+        weight = np.full((len(text), self.longest), -np.inf)
+        codes = code_hashes(text)
+        one, two = np.zeros(len(text), dtype=np.uint64), np.zeros(len(text), dtype=np.uint64)
+        at = np.arange(len(text))
+        for n, (first, second, piece, log, maybe) in enumerate(self.tables, 1):
+            at = at[rank[at] >= n]
+            if not len(at):
+                break
+            own = codes[at - n + 1]
+            one[at] += own * np.uint64(pow(FACTORS[0], n - 1, 1 << 64))
+            two[at] += own * np.uint64(pow(FACTORS[1], n - 1, 1 << 64))
+            some = at[maybe[one[at] >> np.uint64(47)]]
+            if len(some):
+                k = np.minimum(np.searchsorted(first, one[some]), len(first) - 1)
+                hit = np.flatnonzero((first[k] == one[some]) & (second[k] == two[some]))
+                ids[some[hit], n - 1], weight[some[hit], n - 1] = piece[k[hit]], log[k[hit]]
+        for k in np.flatnonzero(ids[:, 0] < 0):
+            ids[k, 0], weight[k, 0] = self.spell(text[k]), np.log(self.rare)
+        total = np.full(len(text) + self.longest, -np.inf)  # of the node before each character, from `longest` on
+        share = np.zeros(ids.shape)
+        back = np.arange(self.longest)
+        open_ = len(words)
+        for j in range(int(size[0])):
+            while size[open_ - 1] <= j:
+                open_ -= 1
+            here = start[:open_] + j
+            width = min(j + 1, self.longest)
+            if j < self.longest:  # the word's own start weighs 1
+                sums = np.concatenate([total[here[:, None] + self.longest - 1 - back[: width - 1]], np.zeros((open_, 1))], axis=1)
+            else:
+                sums = total[here[:, None] + self.longest - 1 - back]
+            logs = sums + weight[here, :width]
+            top = logs.max(axis=1)
+            p = np.exp(logs - top[:, None])
+            run = np.cumsum(p[:, ::-1], axis=1)[:, ::-1]  # longest pieces, the likeliest, first
+            total[here + self.longest] = top + np.log(run[:, 0])
+            share[here, :width] = run / run[:, :1]
+        node, length = np.nonzero(ids[:, ::-1] >= 0)
+        length = self.longest - 1 - length
+        reach = self.nodes + node + share[node, length]
+        last = np.append(node[1:] != node[:-1], True)
+        opens = np.flatnonzero(np.append(True, last[:-1])) + self.arcs
+        while self.nodes + len(text) > len(self.first):
+            self.first = np.concatenate([self.first, np.empty_like(self.first)])
+        self.first[self.nodes : self.nodes + len(text)] = opens
+        reach[last] = self.nodes + node[last] + 1
+        n = len(node)
         while self.arcs + n > len(self.reach):
             self.reach, self.before, self.piece = (np.concatenate([x, np.empty_like(x)]) for x in (self.reach, self.before, self.piece))
-        here = slice(self.arcs, self.arcs + n)
-        self.reach[here], self.before[here], self.piece[here] = reach, before, piece
+        room = slice(self.arcs, self.arcs + n)
+        self.reach[room], self.piece[room] = reach, ids[node, length]
+        self.before[room] = np.where(rank[node] == length + 1, -1, self.nodes + node - length - 1)
+        self.ends.update(zip(words, (self.nodes + start + size - 1).tolist(), strict=True))
         self.arcs += n
-        self.nodes += len(word)
-        return self.nodes - 1
+        self.nodes += len(text)
+
+    def learn(self, words: set[str]) -> None:
+        some, n = [], 0
+        for w in sorted(words):
+            some.append(w)
+            n += len(w)
+            if n >= AT_ONCE:
+                self.add(some)
+                some, n = [], 0
+        if some:
+            self.add(some)
 
     def sample(self, texts: list[str], keys: list[int], seed: int) -> list[np.ndarray]:
         """Piece ids of each text, drawn by its key."""
         if self.arcs > REMEMBERED:
             self.clear()
-        nodes, counts = [], []
-        ends, add = self.ends, self.add
-        for text in texts:
-            words = self.pattern.findall(" " + text) if text else []
-            for w in words:
-                if w not in ends:
-                    ends[w] = add(w)
-            nodes.append(np.fromiter(map(ends.__getitem__, words), dtype=np.int64, count=len(words)))
-            counts.append(len(words))
-        node = np.concatenate(nodes) if nodes else np.empty(0, dtype=np.int64)
-        many = np.array(counts, dtype=np.int64)
+        found = [self.pattern.findall(" " + text) if text else [] for text in texts]
+        self.learn(set(chain.from_iterable(found)).difference(self.ends))
+        many = np.array([len(words) for words in found], dtype=np.int64)
+        node = np.fromiter(map(self.ends.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(many.sum()))
         place = np.arange(len(node)) - np.repeat(np.cumsum(many) - many, many)
         key = np.repeat(np.array([hash_of(seed, k) for k in keys], dtype=np.uint64), many)
         draw = mixed(key + (place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        reach, before, piece = self.reach[: self.arcs], self.before, self.piece
         of, ids, depth = np.arange(len(node)), [], np.zeros(len(node), dtype=np.int64)
         steps = []
         while len(of):
             draw = mixed(draw + np.uint64(0xD1B54A32D192ED03))
-            u = (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            arc = np.minimum(np.searchsorted(reach, node + u, side="right"), len(reach) - 1)
+            arc = self.drawn(node, (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53)
             steps.append(of)
-            ids.append(piece[arc])
+            ids.append(self.piece[arc])
             depth[of] += 1
-            node = before[arc]
+            node = self.before[arc]
             left = np.flatnonzero(node >= 0)
             of, node, draw = of[left], node[left], draw[left]
         start = np.cumsum(depth) - depth
@@ -134,6 +188,15 @@ class Lattice:
         cuts = np.concatenate(([0], np.cumsum(depth)))[np.concatenate(([0], np.cumsum(many)))]
         return [self.expanded(out[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def drawn(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The arc of each node at which the cumulative probability passes u."""
+        arc, target = self.first[node], np.minimum(node + u, np.nextafter(node + 1.0, 0))
+        left = np.flatnonzero(self.reach[arc] <= target)
+        while len(left):
+            arc[left] += 1
+            left = left[self.reach[arc[left]] <= target[left]]
+        return arc
+
     def expanded(self, ids: np.ndarray) -> np.ndarray:
         """Numbers of spellings replaced by their byte pieces."""
         far = np.flatnonzero(ids >= self.size)
