@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratakv.llm.common import cut
+from stratakv.llm.common import cut, lean
 
 #: Vectors that the index is fitted on, at most: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -141,7 +141,7 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
                 own = index.near(matrix(part.column(1), d) @ index.rotation).argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *part.columns], names=["list", "vec_id", "v"])
 
-    listed = cut(folded.mapInArrow(assign, "list int, vec_id long, v array<double>"))
+    listed = cut(folded.mapInArrow(lean(assign), "list int, vec_id long, v array<double>"))
     counts = np.zeros(len(index.centres), dtype=np.int64)
     for r in listed.groupBy("list").count().collect():  # MAX_LISTS rows at most
         counts[r["list"]] = r["count"]
@@ -158,7 +158,7 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
                 row, col = np.nonzero(enough & (counts[order] > 0))
                 yield pa.RecordBatch.from_arrays([pa.array(order[row, col].astype(np.int32)), *(c.take(pa.array(row)) for c in part.columns)], names=["list", "vec_id", "v"])
 
-    probed = asking.mapInArrow(probe, "list int, vec_id long, v array<double>")
+    probed = asking.mapInArrow(lean(probe), "list int, vec_id long, v array<double>")
     asked = np.zeros(len(counts), dtype=np.int64)
     for r in probed.groupBy("list").count().collect():  # MAX_LISTS rows at most
         asked[r["list"]] = r["count"]

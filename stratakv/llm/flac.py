@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.common import slices, texts
+from stratakv.llm.common import lean, slices, texts
 
 #: Samples of a frame, and the unit that payloads are padded to.
 BLOCK = 4096
@@ -459,7 +459,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 raw = texts(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], type=pa.int64()), pa.array([encode(padded(x)) for x in raw], type=pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, media binary")
 
 
 def pcm(stored: DataFrame) -> DataFrame:
@@ -473,7 +473,7 @@ def pcm(stored: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(found), type=batch.column(0).type), pa.array(range(len(found)), type=pa.int32()), pa.array([o for o, _ in found], type=pa.int64()), pa.array([x for _, x in found], type=pa.binary())], names=["doc_id", "block", "sample_offset", "pcm"])
 
-    return stored.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, block int, sample_offset long, pcm binary")
+    return stored.select("doc_id", "media").mapInArrow(lean(run), f"doc_id {kind}, block int, sample_offset long, pcm binary")
 
 
 def feature(payload: bytes) -> str:
@@ -506,4 +506,4 @@ def features(stored: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

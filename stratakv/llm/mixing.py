@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratakv.llm.common import BLANK_CLASS, cut, word_count
+from stratakv.llm.common import BLANK_CLASS, cut, lean, word_count
 
 #: Words of a block.
 BLOCK = 256
@@ -204,7 +204,7 @@ def slots(mix: Mix) -> DataFrame:
                 some = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard, dtype=np.int32)), pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], names=["shard", "source_ix", "drawn"])
 
-    draws = cut(spark.range(plan.shards).mapInArrow(draw, "shard int, source_ix int, drawn long"))
+    draws = cut(spark.range(plan.shards).mapInArrow(lean(draw), "shard int, source_ix int, drawn long"))
     drawn = np.zeros(len(plan.size), dtype=np.int64)
     for r in draws.groupBy("source_ix").agg(F.sum("drawn").alias("n")).collect():
         drawn[r.source_ix] = r.n
@@ -223,7 +223,7 @@ def slots(mix: Mix) -> DataFrame:
                         n = len(block)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, dtype=np.int32)), pa.array(place), pa.array(np.full(n, s, dtype=np.int32)), pa.array(block), pa.array(epoch.astype(np.int32)), pa.array(take.astype(np.int32))], names=["shard", "place", "source_ix", "block", "epoch", "take"])
 
-    return begun.select("shard", "source_ix", "drawn", "first").mapInArrow(fill, shape)
+    return begun.select("shard", "source_ix", "drawn", "first").mapInArrow(lean(fill), shape)
 
 
 def pieces(rows: DataFrame, *keep: str) -> DataFrame:

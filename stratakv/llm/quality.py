@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratakv.llm.common import slices, texts
+from stratakv.llm.common import lean, slices, texts
 
 #: Labelled rows that a classifier learns from, at most. They are those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -196,26 +196,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([statistics(x) for x in texts(part.column(2))], type=pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
-    found = chosen.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r")).select("r.y", "r.x").toArrow()
+    found = chosen.select("doc_id", "y", "text").mapInArrow(lean(run), "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r")).select("r.y", "r.x").toArrow()
     y = found.column("y").to_numpy()
     x = np.array(found.column("x").to_pylist(), dtype=float).reshape(-1, len(NAMES))
     order = np.lexsort((*x.T[::-1], y))  # the sum of a histogram must not hang on the order of arrival
     return fit(x[order], (y[order] > 0).astype(float))
 
 
-def score(docs: DataFrame, trees: Trees) -> DataFrame:
-    """docs with quality_score double: 0 to 1, higher for likelier label 1. Null texts count as empty. A column of that name is replaced."""
-    docs = docs.drop("quality_score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
+def score(docs: DataFrame, trees: Trees, name: str = "quality_score") -> DataFrame:
+    """docs with a score double: 0 to 1, higher for likelier label 1. Null texts count as empty. A column of that name is replaced."""
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 rows = np.array([statistics(x) for x in texts(part.column(at))], dtype=float).reshape(-1, len(NAMES))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(trees.score(rows))], names=[*part.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(trees.score(rows))], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -11,7 +11,7 @@ piece are spelt in byte pieces; so is the mark that stands for a space when the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 from functools import lru_cache
 from itertools import chain
 
@@ -21,15 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratakv.llm.common import slices
+from stratakv.llm.common import Batches, lean, slices
 from stratakv.llm.mixing import hash_of, mixed
 from stratakv.llm.pieces import BYTE, NORMAL, SPACE, model_bytes, processor, vocabulary, word_pattern
 
 SHARPNESS = 1.0
 #: Arcs that a worker keeps; beyond that it starts anew.
-REMEMBERED = 6_000_000
+REMEMBERED = 7_000_000
 #: Characters of new words that are filtered at once.
-AT_ONCE = 100_000
+AT_ONCE = 200_000
 #: Factors of the two hashes by which runs of characters are looked up; both have to agree.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -39,7 +39,7 @@ def code_hashes(text: str) -> np.ndarray:
 
 
 class Lattice:
-    """Arcs of all words met so far. Node n's arcs stand together; reach holds n plus their cumulative probability."""
+    """Arcs of all words met so far. A node's arcs stand together from `first` on: their cumulative probability, length (0 if the word starts there) and piece."""
 
     def __init__(self, model: bytes, sharpness: float = SHARPNESS) -> None:
         sp, words = processor(model), vocabulary(model)
@@ -56,7 +56,7 @@ class Lattice:
         self.clear()
 
     def table_of(self, some: list[str]) -> tuple[np.ndarray, ...]:
-        """(first hash ascending, second hash, id, log weight, filter) of pieces of one length."""
+        """(first hash ascending, second hash, id, weight, filter) of pieces of one length."""
         n = len(some[0]) if some else 1
         codes = code_hashes("".join(some)).reshape(-1, n)
         powers = [np.array([pow(f, n - 1 - k, 1 << 64) for k in range(n)], dtype=np.uint64) for f in FACTORS]
@@ -65,14 +65,14 @@ class Lattice:
         found = [self.pieces[p] for p in some]
         maybe = np.zeros(1 << 17, dtype=bool)  # by the first hash's top bits: most runs of characters are no piece
         maybe[first >> np.uint64(47)] = True
-        return first[order], second[order], np.array([i for i, _ in found], dtype=np.int32)[order], np.log(np.array([w for _, w in found]))[order], maybe
+        return first[order], second[order], np.array([i for i, _ in found], dtype=np.int32)[order], np.array([w for _, w in found])[order], maybe
 
     def clear(self) -> None:
         self.ends: dict[str, int] = {}
         self.spelt: dict[str, int] = {}
         self.spellings: list[list[int]] = []
         self.nodes = self.arcs = 0
-        self.reach, self.before, self.piece, self.first = np.empty(1024), *(np.empty(1024, dtype=np.int32) for _ in range(3))
+        self.reach, self.length, self.piece, self.first = (np.empty(1024, dtype=t) for t in (np.float32, np.uint8, np.int32, np.int32))
 
     def spell(self, char: str) -> int:
         """The id of a character without a piece: its byte piece, or a number from `size` on for several."""
@@ -85,18 +85,59 @@ class Lattice:
         return self.spelt[char]
 
     def add(self, words: list[str]) -> None:
-        """Forward filtering of new words: all of them a character at a time, in logarithms."""
+        """Forward filtering of new words: a step handles the n-th characters of all of them."""
         words = sorted(words, key=len, reverse=True)
         size = np.array([len(w) for w in words])
-        text = "".join(words)
+        text, many = "".join(words), len(words)
         start = np.cumsum(size) - size
         rank = np.arange(len(text)) - np.repeat(start, size) + 1
-        ids = np.full((len(text), self.longest), -1, dtype=np.int32)
-        weight = np.full((len(text), self.longest), -np.inf)
+        pos, length, ids, weight = self.arcs_of(text, rank)
+        slot = np.arange(len(text)) + np.repeat(np.arange(many), size) + 1  # one more a word, for its start
+        sums = np.zeros(len(text) + many)
+        sums[start + np.arange(many)] = 1.0
+        before = slot[pos] - length
+        at = rank[pos].astype(np.uint16 if size[0] < 1 << 16 else np.int64)
+        turn = np.argsort(at, kind="stable")
+        steps = np.searchsorted(at[turn], np.arange(1, size[0] + 2))
+        share = np.empty(len(pos))
+        for j in range(1, int(size[0]) + 1):
+            arc = turn[steps[j - 1] : steps[j]]
+            part = sums[before[arc]] * weight[arc]
+            here = pos[arc]
+            first = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
+            total = np.add.reduceat(part, first)
+            sums[slot[here[first]]] = total
+            share[arc] = part / np.repeat(total, np.diff(np.append(first, len(arc))))
+            if j % 32 == 0:  # only ratios matter: long words must not run out of range
+                tops = slot[start[: np.searchsorted(-size, -j)] + j - 1]
+                near = tops[:, None] - np.arange(self.longest)
+                sums[near] /= sums[tops][:, None]
+        last = np.append(pos[1:] != pos[:-1], True)
+        opens = np.flatnonzero(np.append(True, last[:-1]))
+        run = np.cumsum(share)
+        reach = run - np.repeat(run[opens] - share[opens], np.diff(np.append(opens, len(pos))))
+        reach[last] = 1
+        n = len(pos)
+        while self.nodes + len(text) > len(self.first):
+            self.first = np.concatenate([self.first, np.empty_like(self.first)])
+        while self.arcs + n > len(self.reach):
+            self.reach, self.length, self.piece = (np.concatenate([x, np.empty_like(x)]) for x in (self.reach, self.length, self.piece))
+        self.first[self.nodes : self.nodes + len(text)] = opens + self.arcs
+        room = slice(self.arcs, self.arcs + n)
+        self.reach[room], self.piece[room] = reach, ids
+        self.length[room] = np.where(rank[pos] == length, 0, length)
+        self.ends.update(zip(words, (self.nodes + start + size - 1).tolist(), strict=True))
+        self.arcs += n
+        self.nodes += len(text)
+
+    def arcs_of(self, text: str, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(last character, length, id, weight) of all pieces in a row of words, by last character and the longest, the likeliest, first. rank: place of each character in its word, from 1."""
         codes = code_hashes(text)
         one, two = np.zeros(len(text), dtype=np.uint64), np.zeros(len(text), dtype=np.uint64)
         at = np.arange(len(text))
-        for n, (first, second, piece, log, maybe) in enumerate(self.tables, 1):
+        lone = np.ones(len(text), dtype=bool)
+        found = []
+        for n, (first, second, piece, weight, maybe) in enumerate(self.tables, 1):
             at = at[rank[at] >= n]
             if not len(at):
                 break
@@ -107,50 +148,19 @@ class Lattice:
             if len(some):
                 k = np.minimum(np.searchsorted(first, one[some]), len(first) - 1)
                 hit = np.flatnonzero((first[k] == one[some]) & (second[k] == two[some]))
-                ids[some[hit], n - 1], weight[some[hit], n - 1] = piece[k[hit]], log[k[hit]]
-        for k in np.flatnonzero(ids[:, 0] < 0):
-            ids[k, 0], weight[k, 0] = self.spell(text[k]), np.log(self.rare)
-        total = np.full(len(text) + self.longest, -np.inf)  # of the node before each character, from `longest` on
-        share = np.zeros(ids.shape)
-        back = np.arange(self.longest)
-        open_ = len(words)
-        for j in range(int(size[0])):
-            while size[open_ - 1] <= j:
-                open_ -= 1
-            here = start[:open_] + j
-            width = min(j + 1, self.longest)
-            if j < self.longest:  # the word's own start weighs 1
-                sums = np.concatenate([total[here[:, None] + self.longest - 1 - back[: width - 1]], np.zeros((open_, 1))], axis=1)
-            else:
-                sums = total[here[:, None] + self.longest - 1 - back]
-            logs = sums + weight[here, :width]
-            top = logs.max(axis=1)
-            p = np.exp(logs - top[:, None])
-            run = np.cumsum(p[:, ::-1], axis=1)[:, ::-1]  # longest pieces, the likeliest, first
-            total[here + self.longest] = top + np.log(run[:, 0])
-            share[here, :width] = run / run[:, :1]
-        node, length = np.nonzero(ids[:, ::-1] >= 0)
-        length = self.longest - 1 - length
-        reach = self.nodes + node + share[node, length]
-        last = np.append(node[1:] != node[:-1], True)
-        opens = np.flatnonzero(np.append(True, last[:-1])) + self.arcs
-        while self.nodes + len(text) > len(self.first):
-            self.first = np.concatenate([self.first, np.empty_like(self.first)])
-        self.first[self.nodes : self.nodes + len(text)] = opens
-        reach[last] = self.nodes + node[last] + 1
-        n = len(node)
-        while self.arcs + n > len(self.reach):
-            self.reach, self.before, self.piece = (np.concatenate([x, np.empty_like(x)]) for x in (self.reach, self.before, self.piece))
-        room = slice(self.arcs, self.arcs + n)
-        self.reach[room], self.piece[room] = reach, ids[node, length]
-        self.before[room] = np.where(rank[node] == length + 1, -1, self.nodes + node - length - 1)
-        self.ends.update(zip(words, (self.nodes + start + size - 1).tolist(), strict=True))
-        self.arcs += n
-        self.nodes += len(text)
+                found.append((some[hit], np.full(len(hit), n), piece[k[hit]], weight[k[hit]]))
+                if n == 1:
+                    lone[some[hit]] = False
+        lone = np.flatnonzero(lone)
+        spelt = np.fromiter((self.spell(text[k]) for k in lone), dtype=np.int32, count=len(lone))
+        found.insert(0, (lone, np.ones(len(lone), dtype=np.int64), spelt, np.full(len(lone), self.rare)))
+        columns = [np.concatenate(c) for c in zip(*found[::-1], strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        return tuple(c[order] for c in columns)
 
     def learn(self, words: set[str]) -> None:
         some, n = [], 0
-        for w in sorted(words):
+        for w in words:
             some.append(w)
             n += len(w)
             if n >= AT_ONCE:
@@ -178,9 +188,9 @@ class Lattice:
             steps.append(of)
             ids.append(self.piece[arc])
             depth[of] += 1
-            node = self.before[arc]
-            left = np.flatnonzero(node >= 0)
-            of, node, draw = of[left], node[left], draw[left]
+            back = self.length[arc]
+            left = np.flatnonzero(back)
+            of, node, draw = of[left], node[left] - back[left], draw[left]
         start = np.cumsum(depth) - depth
         out = np.empty(int(depth.sum()), dtype=np.int64)
         for k, (w, p) in enumerate(zip(steps, ids, strict=True)):
@@ -190,11 +200,11 @@ class Lattice:
 
     def drawn(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The arc of each node at which the cumulative probability passes u."""
-        arc, target = self.first[node], np.minimum(node + u, np.nextafter(node + 1.0, 0))
-        left = np.flatnonzero(self.reach[arc] <= target)
+        arc = self.first[node]
+        left = np.flatnonzero(self.reach[arc] <= u)
         while len(left):
             arc[left] += 1
-            left = left[self.reach[arc[left]] <= target[left]]
+            left = left[self.reach[arc[left]] <= u[left]]
         return arc
 
     def expanded(self, ids: np.ndarray) -> np.ndarray:
@@ -233,22 +243,32 @@ def encode(docs: DataFrame, key: Column | None = None, path: str | None = None,
 
     Null texts give null, empty ones an empty array. Rows keep their number; a column named pieces is replaced.
     """
+    return sampled(docs, key, path, seed, sharpness, ["pieces"])
+
+
+def sampled(docs: DataFrame, key: Column | None, path: str | None, seed: int, sharpness: float, wanted: list[str]) -> DataFrame:
+    """docs with columns by name: pieces, and decoded_sha256, the digest of what the pieces decode to."""
     model = model_bytes(path)
-    docs = docs.drop("pieces", "__key")
+    docs = docs.drop(*wanted, "__key")
     keyed = docs.withColumn("__key", F.coalesce((F.col("doc_id") if key is None else key).cast("long"), F.lit(-1)))
     at, last = docs.columns.index("text"), len(docs.columns)
+    kinds = {"pieces": T.ArrayType(T.IntegerType()), "decoded_sha256": T.StringType()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         own = lattice(model, sharpness)
         for batch in batches:
-            for part in slices(batch, 3 << 20):
+            for part in slices(batch, 2 << 20):
                 texts = part.column(at).to_pylist()
                 found = own.sample([x or "" for x in texts], part.column(last).to_pylist(), seed)
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, dtype=np.int32)), mask=pa.array([x is None for x in texts]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:last], lists], names=[*part.schema.names[:last], "pieces"])
+                more = {"pieces": lists}
+                if "decoded_sha256" in wanted:
+                    more["decoded_sha256"] = pa.array([None if x is None else hashlib.sha256(decoded(model, ids.tolist()).encode()).hexdigest() for x, ids in zip(texts, found, strict=True)], type=pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], *(more[w] for w in wanted)], names=[*part.schema.names[:last], *wanted])
+        own.clear()  # what was learnt would stay beside other workers' memory
 
-    return keyed.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType()))]))
+    return keyed.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *(T.StructField(w, kinds[w]) for w in wanted)]))
 
 
 def decode(coded: DataFrame, path: str | None = None, name: str = "decoded") -> DataFrame:
@@ -257,18 +277,22 @@ def decode(coded: DataFrame, path: str | None = None, name: str = "decoded") ->
     coded = coded.drop(name)
     at = coded.columns.index("pieces")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             for part in slices(batch, 4 << 20):
                 texts = [None if x is None else decoded(model, x) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, type=pa.string())], names=[*part.schema.names, name])
 
-    return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(name, T.StringType())]))
+    return coded.mapInArrow(lean(run), T.StructType([*coded.schema.fields, T.StructField(name, T.StringType())]))
+
+
+def checked(docs: DataFrame, path: str | None = None, seed: int = 1) -> DataFrame:
+    """encode(docs) with lossless: whether the pieces decode to the very text, by decoding them. Null texts give nulls."""
+    found = sampled(docs, None, path, seed, SHARPNESS, ["pieces", "decoded_sha256"])
+    return found.withColumn("lossless", F.col("decoded_sha256") == F.sha2("text", 256))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_pieces, pieces_crc32, decoded_sha256, lossless (the decoded text is the text), of every row; a null text counts as empty."""
-    text = F.coalesce("text", F.lit(""))
-    coded = encode(docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256")), path=path)
-    back = decode(coded.drop("text"), path)
-    return back.select("doc_id", "n_bytes", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_xxh64"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("lossless"))
+    """doc_id, n_bytes, n_pieces, pieces_xxh64, decoded_sha256, lossless, of every row; a null text counts as empty."""
+    found = checked(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path)
+    return found.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_xxh64"), "decoded_sha256", "lossless")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.common import by_batch, cut, texts
+from stratakv.llm.common import by_batch, cut, lean, texts
 from stratakv.llm.components import components
 
 #: Rows of a bucket that one task compares.
@@ -215,7 +215,7 @@ def links(reps: DataFrame, radius: int = 4, rows: int | None = None) -> DataFram
             t, key, a, b, chunk, fp = some
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare(fp, t, np.flatnonzero(changes([t, key, a, b])), np.where(a == b, -1, chunk), radius, kinds)], names=["u", "v"])
 
-    return ready.mapInArrow(run, "u long, v long").distinct()
+    return ready.mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def changes(columns: list[np.ndarray]) -> np.ndarray:
@@ -375,6 +375,6 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
                 u, v = verified(node[many], fp[many], some[many], np.flatnonzero(changes([group])), np.where(a == b, -1, chunk)[many], radius, similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    roots = components(ready.mapInArrow(block, "u long, v long").distinct())
+    roots = components(ready.mapInArrow(lean(block), "u long, v long").distinct())
     placed = reps.select("fp", "sk", "node").join(roots, "node", "left").select("fp", "sk", F.coalesce("root", "node").alias("component_id"))
     return prints.select("doc_id", "fp", "sk").join(placed, ["fp", "sk"], "left").select("doc_id", "fp", "component_id")
