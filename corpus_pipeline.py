@@ -16,8 +16,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    trees = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, trees, "__quality").where("__quality >= 0.5").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_pieces, pieces: sampled token ids, checked to decode to the text."""
-    coded = sampling.encode(docs.select("doc_id", "source", "text"))
-    back = sampling.decode(coded)
-    return back.select("doc_id", "source", F.size("pieces").cast("long").alias("n_pieces"), "pieces", (F.col("decoded") == F.col("text")).alias("lossless"))
+    coded = sampling.checked(docs.select("doc_id", "source", "text"))
+    return coded.select("doc_id", "source", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "lossless")
 
 
 STAGES: list[tuple[str, Stage]] = [
