@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stratakv.errors import InvalidFormatVersion, OrderError
 from stratakv.model import UNBOUNDED, Bound
 from stratakv.operators import cursor, scans
-from stratakv.plans.ranged import with_neighbours
+from stratakv.plans.ranged import with_index, with_neighbours
 from stratakv.plans.scratch import scratch
 from stratakv.sources.codecs import Codec
 
@@ -189,6 +189,10 @@ class Reader:
         """All entries by key."""
         return self.entries.orderBy("key")
 
+    def cursor(self) -> Cursor:
+        """A position in the dataset, for programs that step through it. Each step is a Spark job: for many steps use the scans and the batch moves."""
+        return Cursor(self)
+
     def into_range_iter(self, start: Bound = UNBOUNDED, end: Bound = UNBOUNDED) -> DataFrame:
         return scans.range_scan(self.entries, start, end)
 
@@ -229,10 +233,56 @@ class Reader:
         return cursor.walk(self.entries)
 
 
+@dataclass
+class Cursor:
+    """An entry of a dataset, or none. A move gives the entry it lands on; one that finds none gives None and leaves the cursor where it was."""
+
+    reader: Reader
+    entry: tuple[Any, Any] | None = None
+
+    def current(self) -> tuple[Any, Any] | None:
+        return self.entry
+
+    def reset(self) -> None:
+        self.entry = None
+
+    def into_reader(self) -> Reader:
+        return self.reader
+
+    def _land(self, found: DataFrame) -> tuple[Any, Any] | None:
+        rows = found.limit(1).collect()
+        if not rows:
+            return None
+        plain = [bytes(x) if isinstance(x, bytearray) else x for x in rows[0]]
+        self.entry = (plain[0], plain[1])
+        return self.entry
+
+    def move_on_first(self) -> tuple[Any, Any] | None:
+        return self._land(self.reader.move_on_first())
+
+    def move_on_last(self) -> tuple[Any, Any] | None:
+        return self._land(self.reader.move_on_last())
+
+    def move_on_next(self) -> tuple[Any, Any] | None:
+        """The entry behind the current one; the first if there is none."""
+        return self._land(self.reader.move_on_next(self.entry and self.entry[0]))
+
+    def move_on_prev(self) -> tuple[Any, Any] | None:
+        """The entry before the current one; the last if there is none."""
+        return self._land(self.reader.move_on_prev(self.entry and self.entry[0]))
+
+    def move_on_key_lower_than_or_equal_to(self, key: Any) -> tuple[Any, Any] | None:
+        return self._land(self.reader.move_on_key_lower_than_or_equal_to(key))
+
+    def move_on_key_greater_than_or_equal_to(self, key: Any) -> tuple[Any, Any] | None:
+        return self._land(self.reader.move_on_key_greater_than_or_equal_to(key))
+
+    def move_on_key_equal_to(self, key: Any) -> tuple[Any, Any] | None:
+        return self._land(self.reader.move_on_key_equal_to(key))
+
+
 def block_index(entries: DataFrame, interval: int) -> DataFrame:
     """(block, last_key, rows): the sparse index of entries by blocks of `interval` keys."""
-    from stratakv.plans.ranged import with_index
-
     placed = with_index(entries.select("key"), "key", "nth")
     return placed.groupBy(F.floor(F.col("nth") / interval).alias("block")).agg(F.max("key").alias("last_key"), F.count(F.lit(1)).alias("rows"))
 

@@ -173,3 +173,19 @@ def test_block_index(spark):
     df = spark.range(100).select(F.col("id").alias("key"), F.lit(1).alias("val"))
     rows = sorted((r.block, r.last_key, r["rows"]) for r in block_index(df, 8).collect())
     assert rows == [(b, min(8 * b + 7, 99), min(8, 100 - 8 * b)) for b in range(13)]
+
+
+def test_cursor(spark, tmp_path):
+    rows = spark.createDataFrame([(b"first-counter", b"119"), (b"second-counter", b"384"), (b"", b"empty")], "key binary, val binary")
+    c = Writer(str(tmp_path / "counters")).insert(rows).into_inner().cursor()
+    assert c.current() is None
+    assert c.move_on_next() == (b"", b"empty") and c.move_on_next() == (b"first-counter", b"119") and c.move_on_next() == (b"second-counter", b"384")
+    assert c.move_on_next() is None and c.current() == (b"second-counter", b"384")
+    assert c.move_on_prev() == (b"first-counter", b"119")
+    c.reset()
+    assert c.move_on_prev() == (b"second-counter", b"384")
+    assert c.move_on_key_greater_than_or_equal_to(b"first") == (b"first-counter", b"119")
+    assert c.move_on_key_equal_to(b"second-counter") == (b"second-counter", b"384")
+    assert c.move_on_key_equal_to(b"third") is None
+    assert c.move_on_key_lower_than_or_equal_to(b"abracadabra") == (b"", b"empty")
+    assert c.move_on_first() == (b"", b"empty") and c.move_on_last()[0] == b"second-counter" and len(c.into_reader()) == 3
