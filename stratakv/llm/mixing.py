@@ -28,6 +28,8 @@ BLOCK = 256
 #: Slots of an output shard, at least; there are MAX_SHARDS shards at most.
 SLOTS = 4096
 MAX_SHARDS = 65_536
+#: Slots that one task fills.
+SLOTS_A_TASK = 2_000_000
 #: Sources, at most: what is kept for each of them on the driver and in every task is of this size. More raise an error.
 MAX_SOURCES = 65_536
 BUCKETS = 1024
@@ -223,7 +225,10 @@ def slots(mix: Mix) -> DataFrame:
                         n = len(block)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, dtype=np.int32)), pa.array(place), pa.array(np.full(n, s, dtype=np.int32)), pa.array(block), pa.array(epoch.astype(np.int32)), pa.array(take.astype(np.int32))], names=["shard", "place", "source_ix", "block", "epoch", "take"])
 
-    return begun.select("shard", "source_ix", "drawn", "first").mapInArrow(lean(fill), shape)
+    # a few rows become many: dealt out by count, for their bytes would put them in one task
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(plan.slots.sum()) // SLOTS_A_TASK))
+    begun = begun.select("shard", "source_ix", "drawn", "first").repartition(min(tasks, plan.shards), "shard")
+    return begun.mapInArrow(lean(fill), shape)
 
 
 def pieces(rows: DataFrame, *keep: str) -> DataFrame:
@@ -243,7 +248,7 @@ def allotted(mix: Mix) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): a row for each document row; empty and null texts have size and taken 0."""
     rows = placed(mix.rows, mix)
     takes = slots(mix).groupBy("source_ix", "block").agg(F.max("take").alias("most"), F.sum("take").alias("all"))  # two epochs at most
-    joined = pieces(rows, "doc_id").join(takes, ["source_ix", "block"], "left")
+    joined = pieces(rows, "doc_id").join(takes.hint("merge"), ["source_ix", "block"], "left")  # Spark takes slots for as few as draws, and would broadcast them
     words = F.when(F.col("most").isNull(), 0).otherwise(used(F.col("most")) + used(F.col("all") - F.col("most")))
     taken = joined.groupBy("source_ix", "start", "size", "doc_id").agg(F.sum(words).cast("long").alias("taken"))
     few = F.broadcast(mix.sources)  # MAX_SOURCES rows at most
@@ -260,7 +265,7 @@ def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     """docs as the mix has them: the words that it takes of each, in order, then those that it takes again after a newline; documents of which it takes none go. n_chars, if there, is counted anew."""
     mix = prepare(docs, weights, share, seed)
     whole = placed(rows_of(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), mix).select("doc", "source_ix", "start", "size").where("size > 0")
-    joined = pieces(placed(mix.rows, mix)).join(slots(mix).select("source_ix", "block", "epoch", "take"), ["source_ix", "block"])
+    joined = pieces(placed(mix.rows, mix)).join(slots(mix).select("source_ix", "block", "epoch", "take").hint("merge"), ["source_ix", "block"])
     spans = joined.withColumn("n", used(F.col("take"))).where("n > 0").groupBy("source_ix", "start").agg(F.sort_array(F.collect_list(F.struct("epoch", F.col("first").cast("int").alias("first"), F.col("n").cast("int").alias("n")))).alias("spans"))
     parts = F.regexp_extract_all(F.col("doc.text"), F.lit(f"{BLANK_CLASS}*[^\\x20\\x09-\\x0D]+"), F.lit(0))
     kept = whole.join(spans, ["source_ix", "start"]).withColumn("parts", parts)
