@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from stratakv.llm.common import cut, lean
 
-#: Vectors that the index is fitted on, at most: those with the smallest hash of their id.
+#: Vectors that the index is fitted on, at most, and their bytes: those with the smallest hash of their id.
 SAMPLE = 20_000
+SAMPLE_BYTES = 64 << 20
 #: Recall at which the number of probed lists is set, within the sample.
 AIM = 0.985
 #: Lists, at most; rows of a list's part; queries of a part.
@@ -117,22 +118,21 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
     """(query_id, rank, vec_id, score): the k nearest found of each query, by Euclidean distance and then vec_id.
 
     Queries are the rows whose id is divisible by `every`, candidates all other rows. Rows with a null id or vector, a null or non-finite component, or zeros only take no
-    part; nor do those whose dimension is not the one that most rows of the sample have. Rows that repeat an id with the same vector count once; a row never
+    part; nor do those whose dimension is not the one that most rows have. Rows that repeat an id with the same vector count once; a row never
     finds one of its own id. With k candidates or fewer all are found. No usable rows give no rows.
     """
     spark = vectors.sparkSession
     shape = "query_id long, rank int, vec_id long, score double"
     good = usable(vectors, id_col, vector_col)
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toArrow().column("v").combine_chunks()
-    if not len(sample):
+    most = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if most is None:
         return spark.createDataFrame([], shape)
-    sizes = np.diff(sample.offsets.to_numpy())
-    d = int(np.bincount(sizes).argmax())
-    folded = good.where(F.size("v") == d).distinct()
+    d, rows = most["d"], most["count"]
+    good = good.where(F.size("v") == d)
+    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * d)))).toArrow().column("v").combine_chunks()
+    index = fit(matrix(sample, d), rows, k, seed)
     copies = Window.partitionBy("v").orderBy("vec_id")
-    folded = folded.withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).drop("nth")
-    rows = good.count()
-    index = fit(np.array([x for x in sample.to_pylist() if len(x) == d]), rows, k, seed)
+    folded = good.distinct().withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).drop("nth")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +146,7 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
     for r in listed.groupBy("list").count().collect():  # MAX_LISTS rows at most
         counts[r["list"]] = r["count"]
     parts = np.maximum(1, -(-counts // PART))
-    asking = good.where(F.size("v") == d).where(F.col("vec_id") % every == 0).distinct()
+    asking = good.where(F.col("vec_id") % every == 0).distinct()
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
