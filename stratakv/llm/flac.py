@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -463,15 +464,16 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def pcm(stored: DataFrame) -> DataFrame:
-    """(doc_id, block int, sample_offset long, pcm binary): a row for each frame, in seekable blocks."""
+    """(doc_id, block int, sample_offset long, pcm binary): a row for each frame, in seekable blocks. Null media give none; one block alone is read by blocks()."""
     kind = stored.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, stream in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = list(blocks(stream)) if stream is not None else []
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(found), type=batch.column(0).type), pa.array(range(len(found)), type=pa.int32()), pa.array([o for o, _ in found], type=pa.int64()), pa.array([x for _, x in found], type=pa.binary())], names=["doc_id", "block", "sample_offset", "pcm"])
+            for part in slices(batch.filter(pc.is_valid(batch.column(1))), 6 << 20):
+                media = part.column(1).to_pylist()
+                found = [(row, n, first, payload[first : first + size]) for row, (stream, payload) in enumerate(zip(media, decode_many(media), strict=True)) for n, (first, _, size) in enumerate(parse(stream).points)]
+                rows, numbers, offsets, samples = zip(*found, strict=True) if found else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(offsets, pa.int64()), pa.array(samples, pa.binary())], names=["doc_id", "block", "sample_offset", "pcm"])
 
     return stored.select("doc_id", "media").mapInArrow(lean(run), f"doc_id {kind}, block int, sample_offset long, pcm binary")
 
