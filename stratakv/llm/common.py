@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,15 +27,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
         place = tempfile.mkdtemp(prefix="stratakv-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(place)
     return place
 
 
+#: Tables written by cut(), by application.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder and read from there, so that nothing above is computed twice."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, written to the shared checkpoint folder and read from there, so that nothing above is computed twice.
+
+    A table rather than checkpoint(): Spark keeps a checkpoint's inferred constraints, and in loops they multiply
+    until planning takes all of the driver's memory. The tables go when the driver ends.
+    """
+    spark = df.sparkSession
+    if not _WRITTEN:
+        atexit.register(_forget)
+    place = f"{checkpoint_dir(spark)}/stratakv-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, place))
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def _forget() -> None:
+    for spark, place in _WRITTEN:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(text: Column) -> Column:
