@@ -347,7 +347,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
 
     Blocks of documents that share one of their smallest shingle hashes are compared by their fingerprints, bit-sliced,
     and what lies within the radius by sketches of the shingle sets. Equal documents are folded first, large
-    blocks are dealt to pairs of chunks, and a block sends on a spanning forest only. Rows that share an id are one document. Texts without words are all alike. A null id
+    blocks are dealt to pairs of chunks, and a block sends on a spanning forest only. Sketches go to blocks of two documents or more. Rows that share an id are one document. Texts without words are all alike. A null id
     is in no group of its own: its component is that of an equal text, or null. Other columns are ignored.
     """
 
@@ -360,9 +360,12 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = cut(chosen.mapInArrow(by_batch(run), "doc_id long, fp long, sketch binary, keys array<long>")).withColumn("sk", F.xxhash64("sketch"))
-    reps = prints.where("doc_id is not null").groupBy("fp", "sk").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    reps = prints.where("doc_id is not null").groupBy("fp", "sk").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     reps = cut(reps)
-    ready = dealt(reps.select("fp", "node", "sketch", F.explode("keys").alias("key")), ["key"], "node").select("key", "part_a", "part_b", "chunk", "fp", "node", "sketch")
+    keyed = reps.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").count().where("count > 1").select("key")  # most keys are one document's own
+    few = dealt(keyed.join(shared, "key"), ["key"], "node").select("key", "part_a", "part_b", "chunk", "node")
+    ready = few.join(prints.select(F.col("doc_id").alias("node"), "fp", "sketch"), "node").select("key", "part_a", "part_b", "chunk", "fp", "node", "sketch")
     ready = ready.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b")
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
