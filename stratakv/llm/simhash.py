@@ -282,8 +282,10 @@ def near_dups(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "do
 # ---------------------------------------------------------------- near copies by similarity
 
 #: Smallest distinct shingle hashes (32 bits each) that a document keeps. A similarity is exact where both keep all,
-#: else an estimate with a standard deviation of sqrt(s * (1 - s) / SKETCH): 0.03 at 0.8.
-SKETCH = 192
+#: else an estimate with a standard deviation of sqrt(s * (1 - s) / SKETCH): 0.0125 at 0.8.
+SKETCH = 1024
+#: What fills up shorter sketches in a table of them.
+PAD = 0xFFFFFFFF
 #: Of those, how many are keys of blocks. Two documents of similarity s share one of their KEYS smallest but for about
 #: 2 * ((1 - s) / (1 + s)) ** KEYS of the cases: 0.003 at 0.8.
 KEYS = 3
@@ -304,20 +306,20 @@ def sketch(text: bytes, size: int = 5) -> tuple[int, np.ndarray]:
         hashes = np.array([digest(x, 42) for x in some], dtype=np.uint64)
         counts += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
         total += len(some)
-        least = np.unique(np.concatenate([least, (hashes >> np.uint64(32)).astype(np.uint32)]))[:SKETCH]
+        short = np.minimum(hashes >> np.uint64(32), np.uint64(PAD - 1)).astype(np.uint32)
+        least = np.unique(np.concatenate([least, short]))[:SKETCH]
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big"), least
 
 
 def similarities(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of each pair of rows of sorted hashes, padded with the largest number; two empty rows are alike."""
+    """Jaccard similarity of each pair of rows of sorted hashes, padded with PAD; two empty rows are alike."""
     both = np.sort(np.concatenate([rows[i], rows[j]], axis=1), axis=1)
-    pad = np.uint64(0xFFFFFFFFFFFFFFFF)
-    new = np.ones(both.shape, dtype=bool)
-    new[:, 1:] = both[:, 1:] != both[:, :-1]
-    new &= both != pad
-    rank = np.cumsum(new, axis=1)
+    real = both != np.uint32(PAD)
+    new = real.copy()
+    new[:, 1:] &= both[:, 1:] != both[:, :-1]
+    rank = np.cumsum(new, axis=1, dtype=np.int32)
     union = np.minimum(rank[:, -1], SKETCH)
-    shared = (~new & (both != pad) & (rank <= SKETCH)).sum(axis=1)
+    shared = (real & ~new & (rank <= SKETCH)).sum(axis=1)
     return np.where(union == 0, 1.0, shared / np.maximum(union, 1))
 
 
@@ -326,17 +328,18 @@ def verified(node: np.ndarray, fp: np.ndarray, sketches: np.ndarray, starts: np.
     i, j = near_pairs(fp.view(np.uint64), starts, radius)
     apart = (side[i] != side[j]) | (side[i] < 0)
     i, j = i[apart], j[apart]
-    rows = np.full((len(sketches), SKETCH), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    for k in np.unique(np.concatenate([i, j])):
-        own = np.frombuffer(sketches[k], dtype="<u4")
-        rows[k, : len(own)] = own
+    used = np.unique(np.concatenate([i, j]))
+    width = max((len(sketches[k]) // 4 for k in used), default=0)
+    rows = np.full((len(used), width), PAD, dtype=np.uint32)
+    for n, k in enumerate(used):
+        rows[n, : len(sketches[k]) // 4] = np.frombuffer(sketches[k], dtype="<u4")
     root = np.arange(len(node))
-    for at in range(0, len(i), 4096):
-        a, b = i[at : at + 4096], j[at : at + 4096]
+    for at in range(0, len(i), 512):
+        a, b = i[at : at + 512], j[at : at + 512]
         open_ = root[a] != root[b]
         a, b = a[open_], b[open_]
         if len(a):
-            alike = similarities(rows, a, b) >= similarity
+            alike = similarities(rows, np.searchsorted(used, a), np.searchsorted(used, b)) >= similarity
             root = forest(len(node), np.concatenate([np.arange(len(node)), a[alike]]), np.concatenate([root, b[alike]]))
     moved = np.flatnonzero(root != np.arange(len(root)))
     return node[moved], node[root[moved]]
@@ -369,7 +372,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     ready = ready.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b")
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, a, b, chunk, fp, node, some in whole_groups(batches, 3, 1 << 14):
+        for key, a, b, chunk, fp, node, some in whole_groups(batches, 3, 1 << 12):
             starts = np.flatnonzero(changes([key, a, b]))
             sizes = np.diff(np.append(starts, len(key)))
             many = np.repeat(sizes > 1, sizes)
