@@ -19,6 +19,7 @@ from stratakv.operators import cursor
 from stratakv.operators.merger import Merger
 from stratakv.operators.sorter import Sorter
 from stratakv.plans.scratch import scratch
+from stratakv.plans.ship import ship
 from stratakv.queries import QUERIES
 from stratakv.sources.store import Reader, Writer
 
@@ -59,6 +60,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     times = {name: timed(lambda name=name: drain(QUERIES[name](spark, sf_dir))) for name in HEADLINES}
 
     readers: list[Reader] = []
