@@ -27,9 +27,11 @@ from stratakv.llm.pieces import BYTE, NORMAL, SPACE, model_bytes, processor, voc
 
 SHARPNESS = 1.0
 #: Arcs that a worker keeps; beyond that it starts anew.
-REMEMBERED = 7_000_000
+REMEMBERED = 5_500_000
+#: Items by which its arrays grow.
+GROW = 1 << 20
 #: Characters of new words that are filtered at once.
-AT_ONCE = 200_000
+AT_ONCE = 50_000
 #: Factors of the two hashes by which runs of characters are looked up; both have to agree.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -38,6 +40,11 @@ def code_hashes(text: str) -> np.ndarray:
     return mixed(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
 
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    """x with room for n items."""
+    return x if n <= len(x) else np.concatenate([x, np.empty(n - len(x) + GROW, dtype=x.dtype)])
+
+
 class Lattice:
     """Arcs of all words met so far. A node's arcs stand together from `first` on: their cumulative probability, length (0 if the word starts there) and piece."""
 
@@ -118,10 +125,8 @@ class Lattice:
         reach = run - np.repeat(run[opens] - share[opens], np.diff(np.append(opens, len(pos))))
         reach[last] = 1
         n = len(pos)
-        while self.nodes + len(text) > len(self.first):
-            self.first = np.concatenate([self.first, np.empty_like(self.first)])
-        while self.arcs + n > len(self.reach):
-            self.reach, self.length, self.piece = (np.concatenate([x, np.empty_like(x)]) for x in (self.reach, self.length, self.piece))
+        self.first = grown(self.first, self.nodes + len(text))
+        self.reach, self.length, self.piece = (grown(x, self.arcs + n) for x in (self.reach, self.length, self.piece))
         self.first[self.nodes : self.nodes + len(text)] = opens + self.arcs
         room = slice(self.arcs, self.arcs + n)
         self.reach[room], self.piece[room] = reach, ids
@@ -257,7 +262,7 @@ def sampled(docs: DataFrame, key: Column | None, path: str | None, seed: int, sh
     def run(batches: Batches) -> Batches:
         own = lattice(model, sharpness)
         for batch in batches:
-            for part in slices(batch, 2 << 20):
+            for part in slices(batch, 1 << 20):
                 texts = part.column(at).to_pylist()
                 found = own.sample([x or "" for x in texts], part.column(last).to_pylist(), seed)
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
