@@ -28,7 +28,7 @@ SCOPE = 256
 KINDS = ["assign", "access", "hex", "ident", "opaque", "endpoint"]
 STRONG = 3
 #: The parts that each kind can be.
-IDENTIFIERS, SECRETS, ENDPOINTS = (1, 3), (0, 2, 4), (5,)
+IDENTIFIERS, SECRETS = (1, 3), (0, 2, 4)  # the rest are endpoints
 
 
 def kinds(text: Column) -> list[tuple[str, Column, Callable[[Column], Column]]]:
@@ -86,7 +86,7 @@ def scan(docs: DataFrame, scope: int = SCOPE, text_col: str = "text", keep: list
     def about(kinds: tuple[int, ...]) -> Column:
         return F.max(F.when(F.col("fits") & F.col("kind").isin(*kinds), 1)).over(near).isNotNull()
 
-    joined = placed.withColumn("ident", about(IDENTIFIERS)).withColumn("secret", about(SECRETS)).withColumn("endpoint", about(ENDPOINTS))
+    joined = placed.withColumn("ident", about(IDENTIFIERS)).withColumn("secret", about(SECRETS))
     kind = F.col("kind")
     complete = F.when(kind < STRONG, True).when(kind.isin(*IDENTIFIERS), F.col("secret")).when(kind.isin(*SECRETS), F.col("ident")).otherwise(F.col("ident") & F.col("secret"))
     told = joined.withColumn("told", F.col("fits") & complete)
