@@ -12,6 +12,7 @@ dealt into chunks, and each pair of chunks is a task of its own. A bucket sends
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -281,94 +282,172 @@ def near_dups(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "do
 
 # ---------------------------------------------------------------- near copies by similarity
 
-#: Smallest distinct shingle hashes (32 bits each) that a document keeps. A similarity is exact where both keep all,
-#: else an estimate with a standard deviation of sqrt(s * (1 - s) / SKETCH): 0.0125 at 0.8.
-SKETCH = 1024
+#: Leading keys of a document that its first comparison reads, and of those, how many are keys of the first blocks.
+#: Both only propose pairs.
+SKETCH = 128
+KEYS = 3
 #: What fills up shorter sketches in a table of them.
 PAD = 0xFFFFFFFF
-#: Of those, how many are keys of blocks. Two documents of similarity s share one of their KEYS smallest but for about
-#: 2 * ((1 - s) / (1 + s)) ** KEYS of the cases: 0.003 at 0.8.
-KEYS = 3
-#: Bits in which fingerprints of 0.8 similar documents differ at most, but for a few in a thousand.
+#: Bits in which the fingerprints of proposed pairs differ at most.
 WIDE = 18
+#: Texts, about, that common shingles are counted in; how many texts make a shingle common; how many such are told apart.
+SAMPLE, COMMON, MOST = 20_000, 5, 1 << 16
+#: Added to what is compared with a product of similarities, so that rounding drops no pair.
+EPS = 1e-6
 
 
-def sketch(text: bytes, size: int = 5) -> tuple[int, np.ndarray]:
-    """(fingerprint, smallest distinct hashes in order) of a whole text; 0 and none for a text without words."""
+def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
+    """XXH64 of the distinct shingles of a whole text, in order; none for a text without words."""
     words = text.lower().split()
-    if not words:
-        return 0, np.empty(0, dtype=np.uint32)
-    digest, total, step = xxhash.xxh64_intdigest, 0, 1 << 15
-    counts = np.zeros(64, dtype=np.int64)
-    least = np.empty(0, dtype=np.uint32)
+    digest, step = xxhash.xxh64_intdigest, 1 << 15
+    found = [np.empty(0, dtype=np.uint64)]
     for at in range(0, max(1, len(words) - size + 1), step):
-        some = shingles(words[at : at + step + size - 1], size)
-        hashes = np.array([digest(x, 42) for x in some], dtype=np.uint64)
-        counts += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
-        total += len(some)
-        short = np.minimum(hashes >> np.uint64(32), np.uint64(PAD - 1)).astype(np.uint32)
-        least = np.unique(np.concatenate([least, short]))[:SKETCH]
-    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big"), least
+        found.append(np.unique(np.array([digest(x, 42) for x in shingles(words[at : at + step + size - 1], size)], dtype=np.uint64)))
+    return np.unique(np.concatenate(found))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Majority bits of the hashes; 0 for none."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        counts += np.unpackbits(hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first keys of a set in an order that all sets share: by hash, common shingles last (common: sorted hashes).
+
+    Two sets that are `similarity` alike share at least ceil(similarity * n) shingles of each one's n, so they
+    share one of their first n - ceil(similarity * n) + 1. Keys lose the lowest bit of a hash, which adds pairs at most.
+    """
+    keys = hashes >> np.uint64(1)
+    if len(common):
+        spot = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        keys = np.sort(keys | (common[spot] == hashes).astype(np.uint64) << np.uint64(63))
+    return keys[: len(keys) - math.ceil(similarity * len(keys) - EPS) + 1]
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """512 bits, each the parity of how many of the hashes fall to it: two sets differ in as many elements at least as these differ in bits."""
+    return np.packbits(np.bincount((hashes >> np.uint64(8)).astype(np.int64) & 511, minlength=512) & 1).tobytes()
 
 
-def similarities(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of each pair of rows of sorted hashes, padded with PAD; two empty rows are alike."""
+def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of shingles that stand in COMMON or more of a sample of texts. Which ones they are moves work only, never a result."""
+    part = F.lit(min(1 << 20, int(SAMPLE * (1 << 20) / max(docs.count(), 1)) + 1))
+    some = docs.select(F.xxhash64("text", F.lit(1)).alias("of"), "text").where(F.pmod("of", F.lit(1 << 20)) < part).dropDuplicates(["of"]).select("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(x, size).view(np.int64) for x in texts(batch.column(0))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, dtype=np.int64), *sets]))], names=["h"])
+
+    top = some.mapInArrow(by_batch(run), "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST)
+    return np.sort(np.array([r.h for r in top.collect()], dtype=np.int64).view(np.uint64))
+
+
+def similarities(rows: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of each pair of rows of sorted leading keys, padded with PAD; sizes: keys in each row."""
     both = np.sort(np.concatenate([rows[i], rows[j]], axis=1), axis=1)
     real = both != np.uint32(PAD)
     new = real.copy()
     new[:, 1:] &= both[:, 1:] != both[:, :-1]
     rank = np.cumsum(new, axis=1, dtype=np.int32)
-    union = np.minimum(rank[:, -1], SKETCH)
-    shared = (real & ~new & (rank <= SKETCH)).sum(axis=1)
-    return np.where(union == 0, 1.0, shared / np.maximum(union, 1))
+    known = np.minimum(np.minimum(sizes[i], sizes[j]), rank[:, -1])
+    shared = (real & ~new & (rank <= known[:, None])).sum(axis=1)
+    return np.where(known == 0, 1.0, shared / np.maximum(known, 1))
 
 
-def verified(node: np.ndarray, fp: np.ndarray, sketches: np.ndarray, starts: np.ndarray, side: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the pairs of a block that the fingerprints and then the sketches find alike."""
+def proposed(node: np.ndarray, fp: np.ndarray, sketches: np.ndarray, starts: np.ndarray, side: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the pairs of a block that the fingerprints and then the leading keys find alike."""
     i, j = near_pairs(fp.view(np.uint64), starts, radius)
     apart = (side[i] != side[j]) | (side[i] < 0)
     i, j = i[apart], j[apart]
     used = np.unique(np.concatenate([i, j]))
-    width = max((len(sketches[k]) // 4 for k in used), default=0)
-    rows = np.full((len(used), width), PAD, dtype=np.uint32)
+    sizes = np.array([len(sketches[k]) for k in used], dtype=np.int64)
+    rows = np.full((len(used), max(sizes, default=0)), PAD, dtype=np.uint32)
     for n, k in enumerate(used):
-        rows[n, : len(sketches[k]) // 4] = np.frombuffer(sketches[k], dtype="<u4")
+        rows[n, : sizes[n]] = np.minimum(np.asarray(sketches[k], dtype=np.int64).view(np.uint64) >> np.uint64(32), np.uint64(PAD - 1))
     root = np.arange(len(node))
     for at in range(0, len(i), 512):
         a, b = i[at : at + 512], j[at : at + 512]
         open_ = root[a] != root[b]
         a, b = a[open_], b[open_]
         if len(a):
-            alike = similarities(rows, np.searchsorted(used, a), np.searchsorted(used, b)) >= similarity
+            alike = similarities(rows, sizes, np.searchsorted(used, a), np.searchsorted(used, b)) >= similarity
             root = forest(len(node), np.concatenate([np.arange(len(node)), a[alike]]), np.concatenate([root, b[alike]]))
     moved = np.flatnonzero(root != np.arange(len(root)))
     return node[moved], node[root[moved]]
 
 
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
-    """(doc_id, fp long, component_id): documents linked where their sets of word shingles are `similarity` alike or more.
-
-    Blocks of documents that share one of their smallest shingle hashes are compared by their fingerprints, bit-sliced,
-    and what lies within the radius by sketches of the shingle sets. Equal documents are folded first, large
-    blocks are dealt to pairs of chunks, and a block sends on a spanning forest only. Sketches go to blocks of two documents or more. Rows that share an id are one document. Texts without words are all alike. A null id
-    is in no group of its own: its component is that of an equal text, or null. Other columns are ignored.
-    """
+def crossing(group: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: np.ndarray, similarity: float, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a group and of two components that can be `similarity` alike, by their sizes n, their parity bits (rows of uint64), and if their first common key is at position `at` of each. Rows lie by group, then n."""
+    place = group << 32
+    upto = np.searchsorted(place + n, place + np.minimum(n / similarity + EPS, 2.0**31).astype(np.int64), side="right")
+    many = upto - np.arange(len(n)) - 1
+    ends = np.cumsum(many)
+    first = 0
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+        count = many[first:last]
+        i = np.repeat(np.arange(first, last), count)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + i + 1
+        keep = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] < 0))
+        i, j = i[keep], j[keep]
+        keep = np.minimum(n[i] - at[i], n[j] - at[j]) >= similarity / (1 + similarity) * (n[i] + n[j]) - EPS
+        i, j = i[keep], j[keep]
+        keep = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + EPS
+        yield i[keep], j[keep]
+        first = last
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose whole sets of shingles are `similarity` alike."""
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    spot = F.pmod(F.xxhash64("doc_id", "of"), F.lit(1 << 25))
+    # a Bloom filter of one hash and 4 MB at most, so that only texts of pairs are moved
+    words = cut(reps.join(wanted, "node").select("doc_id", F.col("node").alias("of"))).groupBy(F.shiftright(spot, 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, of), 64) as int))")).alias("bits")).toArrow()
+    bloom = np.zeros(1 << 19, dtype=np.uint64)
+    bloom[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.column(1).to_numpy()
+        keep = pa.array((bloom[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+        batch = batch.filter(keep)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, size).tobytes() for x in texts(batch.column(2))], type=pa.binary())], names=["node", "set"])
+
+    def same(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for a, b in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (a, b))
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(shared / max(len(x) + len(y) - shared, 1) >= similarity)
+        return batch.select(["u", "v"]).filter(pa.array(keep, type=pa.bool_()))
+
+    at = docs.select("of", spot.alias("at"), "text")
+    whole = cut(at.mapInArrow(by_batch(sets), "node long, set binary").dropDuplicates(["node"]))
+    both = pairs.join(whole.toDF("u", "a"), "u").join(whole.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    return cut(both.mapInArrow(by_batch(same), "u long, v long"))
+
+
+def alike(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
+    """(doc_id, of, fp, root, component_id), all long: near_copies() with the text's xxhash64 and the component's own number (null for a null id without an equal text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of"), "text")
+    common = common_shingles(docs, size)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [sketch(x, size) for x in texts(batch.column(1))]
-        prints = pa.array(np.array([f for f, _ in made], dtype=np.uint64).view(np.int64))
-        least = pa.array([s.astype("<u4").tobytes() for _, s in made], type=pa.binary())
-        keys = pa.array([s[:KEYS].tolist() or [0] for _, s in made], type=pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), prints, least, keys], names=["doc_id", "fp", "sketch", "keys"])
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = cut(chosen.mapInArrow(by_batch(run), "doc_id long, fp long, sketch binary, keys array<long>")).withColumn("sk", F.xxhash64("sketch"))
-    reps = prints.where("doc_id is not null").groupBy("fp", "sk").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
-    reps = cut(reps)
-    keyed = reps.select("node", F.explode("keys").alias("key"))
+        made = [shingle_set(x, size) for x in texts(batch.column(2))]
+        prints = pa.array(np.array([majority(s) for s in made], dtype=np.uint64).view(np.int64))
+        whole = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in made], dtype=np.uint64).view(np.int64))
+        keys = pa.array([prefix(s, similarity, common).view(np.int64) for s in made], type=pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, whole, pa.array([len(s) for s in made], type=pa.int32()), pa.array([parity(s) for s in made], type=pa.binary()), keys], names=["doc_id", "of", "fp", "sk", "n", "bits", "keys"])
+
+    prints = cut(docs.mapInArrow(by_batch(run), "doc_id long, of long, fp long, sk long, n int, bits binary, keys array<long>"))
+    reps = prints.where("doc_id is not null").groupBy("fp", "sk").agg(F.min(F.struct("of", "doc_id")).alias("m"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    reps = cut(reps.select("fp", "sk", F.col("m.of").alias("node"), F.col("m.doc_id").alias("doc_id"), "least", "n", "bits", "keys"))
+    keyed = reps.select("node", F.explode(F.slice("keys", 1, KEYS)).alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")  # most keys are one document's own
     few = dealt(keyed.join(shared, "key"), ["key"], "node").select("key", "part_a", "part_b", "chunk", "node")
-    ready = few.join(prints.select(F.col("doc_id").alias("node"), "fp", "sketch"), "node").select("key", "part_a", "part_b", "chunk", "fp", "node", "sketch")
+    ready = few.join(reps.select("node", "fp", F.slice("keys", 1, SKETCH).alias("sketch")), "node").select("key", "part_a", "part_b", "chunk", "fp", "node", "sketch")
     ready = ready.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b")
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,9 +457,44 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
             many = np.repeat(sizes > 1, sizes)
             group = np.repeat(np.arange(len(starts)), sizes)[many]
             if len(group):
-                u, v = verified(node[many], fp[many], some[many], np.flatnonzero(changes([group])), np.where(a == b, -1, chunk)[many], radius, similarity)
+                u, v = proposed(node[many], fp[many], some[many], np.flatnonzero(changes([group])), np.where(a == b, -1, chunk)[many], radius, similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    roots = components(ready.mapInArrow(lean(block), "u long, v long").distinct())
-    placed = reps.select("fp", "sk", "node").join(roots, "node", "left").select("fp", "sk", F.coalesce("root", "node").alias("component_id"))
-    return prints.select("doc_id", "fp", "sk").join(placed, ["fp", "sk"], "left").select("doc_id", "fp", "component_id")
+    sure = confirmed(cut(ready.mapInArrow(lean(block), "u long, v long").distinct()), docs, reps, size, similarity)
+    found = components(sure)
+
+    keyed = reps.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    shared = keyed.groupBy("key").count().where("count > 1").select("key")
+    rows = cut(keyed.join(shared, "key").join(found, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("comp")))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    open_ = dealt(rows.join(mixed, "key"), ["key"], "node").join(reps.select("node", "bits"), "node").select("key", "part_a", "part_b", "n", "at", "comp", "chunk", "node", "bits")
+    open_ = open_.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b", "n")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, a, b, n, at, comp, chunk, node, bits in whole_groups(batches, 3):
+            group = np.cumsum(changes([key, a, b]))
+            planes = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(-1, 8)
+            for i, j in crossing(group, n.astype(np.int64), at, comp, np.where(a == b, -1, chunk), planes, similarity):
+                u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                pairs = np.unique(np.stack([u, v], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
+
+    rest = confirmed(cut(open_.mapInArrow(lean(across), "u long, v long").distinct()), docs, reps, size, similarity)
+    roots = components(sure.union(rest))
+    placed = cut(reps.select("fp", "sk", "node", "least").join(roots, "node", "left").select("fp", "sk", "least", F.coalesce("root", "node").alias("root")))
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = placed.join(smallest, "root").select("fp", "sk", "root", "component_id")
+    return prints.select("doc_id", "of", "fp", "sk").join(placed, ["fp", "sk"], "left").select("doc_id", "of", "fp", "root", "component_id")
+
+
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
+    """(doc_id, fp long, component_id): documents linked where their sets of word shingles are `similarity` alike or more.
+
+    No pair is lost: every link is decided on the whole sets, and every pair that shares a key of prefix() is decided, but for
+    those already in one component and those that sizes, positions and parity bits rule out. To have few such pairs left, blocks of
+    documents that share one of their first keys are compared before, by fingerprints of the sets, bit-sliced, and
+    leading keys; a block proposes a spanning forest only. Documents of equal sets are folded first, and large blocks are
+    dealt to pairs of chunks. Texts without words are all alike. component_id is the smallest doc_id of the
+    component; that of a null id is that of an equal set, or null. Rows that share an id are rows of their own. Other columns are ignored.
+    """
+    return alike(docs, size, similarity, radius).select("doc_id", "fp", "component_id")

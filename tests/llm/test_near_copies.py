@@ -66,3 +66,17 @@ def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, "z y x"), (2, "q r s")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_copies(df).collect()), key=str)
     assert got == sorted([(1, 1), (1, 1), (None, 1), (None, None), (2, 2)], key=str)
+
+
+def words_of(rng, n):
+    return ["v%d" % rng.randrange(100_000) for _ in range(n)]
+
+
+def test_repeats_count_once(spark):
+    """Equal or alike sets whose shingles repeat 20 times in one and once in the other."""
+    rng, rows = random.Random(5), []
+    for k in range(40):
+        body, line = words_of(rng, 105), words_of(rng, 8)
+        rows += [(2 * k, " ".join(body + line + line[:4])), (2 * k + 1, " ".join(body + line * 20))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and all(got[2 * k + 1] == 2 * k for k in range(40))
