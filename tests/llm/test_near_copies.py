@@ -80,3 +80,14 @@ def test_repeats_count_once(spark):
         rows += [(2 * k, " ".join(body + line + line[:4])), (2 * k + 1, " ".join(body + line * 20))]
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows) and all(got[2 * k + 1] == 2 * k for k in range(40))
+
+
+def test_long_documents(spark):
+    """Documents of some 6,000 shingles a little above and below the similarity asked for."""
+    rng, rows = random.Random(6), []
+    for k in range(24):
+        base = words_of(rng, 6000)
+        n = 6000 - int(6000 * (2 * 0.8 / 1.8)) + (-12 if k % 2 else 12)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(words_of(rng, n) + base[n:]))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and sum(got[2 * k + 1] == 2 * k for k in range(24)) == 12
