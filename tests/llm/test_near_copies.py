@@ -91,3 +91,13 @@ def test_long_documents(spark):
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(words_of(rng, n) + base[n:]))]
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows) and sum(got[2 * k + 1] == 2 * k for k in range(24)) == 12
+
+
+def test_contained_documents(spark):
+    """Copies with a quarter of new text appended: exactly 0.8 alike, and many share none of their first keys."""
+    rng, rows = random.Random(7), []
+    for k in range(1000):
+        base = words_of(rng, 44)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + words_of(rng, 10)))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] == d // 2 * 2 for d, _ in rows)
