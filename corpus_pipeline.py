@@ -21,11 +21,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that are 0.8 alike in runs of five words the one with the smallest doc_id stays. Of rows that share an id the one with the smallest text hash stays; rows without an id all stay."""
-    groups = simhash.near_copies(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("__rank", rank).where("__rank = 1")
+    """Of each group of texts that are 0.8 alike in runs of five words one row stays: that with the smallest doc_id, and of those that with the smallest text hash. Texts of a repeated id that are not alike are in groups of their own; rows without an id all stay."""
+    groups = simhash.alike(docs).where("doc_id is not null")
+    first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "of")).alias("m")).select("m.*").withColumnRenamed("of", "__of")
+    kept = docs.withColumn("__of", F.xxhash64("text")).join(first, ["doc_id", "__of"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("doc_id", "__of").orderBy("text"))  # repeats of one row
+    kept = kept.withColumn("__rank", rank).where("__rank = 1")
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -80,3 +80,11 @@ def test_odd_documents(spark, sf):
     assert sum(r.doc_id == 7000 for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 2
     groups = simhash.near_copies(docs).collect()
     assert {r.doc_id for r in kept} - {None} == {r.component_id for r in groups} - {None}
+
+
+def test_repeated_ids_of_unlike_texts(spark, sf):
+    texts = ["one two three four five six seven", "an other text that is its own thing", "and a third one with words unlike both"]
+    rows = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (5, texts[1]), (5, texts[2]), (9, texts[2])]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, sf).collect())
+    assert kept == sorted([(1, texts[0]), (5, texts[1]), (5, texts[2])])
