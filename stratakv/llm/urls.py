@@ -48,7 +48,7 @@ def decide(captures: DataFrame, entries: DataFrame, url_col: str = "url", fetche
     """(capture struct, host, domain, action, since): a row for each capture, the last three null where no entry is active.
 
     capture holds the row as it was, so that no name can clash. Null or odd URLs have no host, and null fetch
-    times no active entry. Repeated rows and null ids are rows of their own; an empty list decides nothing.
+    times no active entry. Parents of a single label are not looked up: an entry such as "xyz" decides only the host "xyz". Repeated rows and null ids are rows of their own; an empty list decides nothing.
     """
     rows = captures.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("capture"), host(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{fetched_col}`").alias("at"))
     spread = rows.select("row", "capture", "host", "at", F.posexplode_outer(domains(F.col("host"))).alias("nth", "domain"))
