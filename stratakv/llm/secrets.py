@@ -3,7 +3,7 @@
 Each kind of match is located in one pass: `regexp_extract_all` gives the matches, `split` by the same pattern gives
 what stands between, and running lengths of both give the offsets. Matches are exploded (their texts stay
 behind), shuffled once by row, and placed by a window. The interval join is a band join of the sorted spans
-with themselves: a range frame over the starts holds what stands in a span's scope, so no pairs are made.
+with themselves: the furthest stop before a span and the nearest start after it tell what stands in its scope, so no pairs are made.
 Weak candidates (identifiers, opaque strings, endpoints) are reported only where the complementary parts of
 a credential stand in scope; strong matches are always reported.
 """
@@ -22,7 +22,7 @@ IDENT = r"""(?i)(?:access_?key|client|account|tenant|user)_?(?:id|name)["']?\x20
 OPAQUE = r"[A-Za-z0-9+/]{32,}={0,2}"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?"
 
-#: Code points between the starts of parts of one credential.
+#: Code points between the end of a part of one credential and the start of the next.
 SCOPE = 256
 #: Kinds in the order in which spans with one start are listed; the first three are strong.
 KINDS = ["assign", "access", "hex", "ident", "opaque", "endpoint"]
@@ -81,10 +81,14 @@ def scan(docs: DataFrame, scope: int = SCOPE, text_col: str = "text", keep: list
     order = Window.partitionBy("row", "kind").orderBy("nth")
     stop = F.sum(F.col("gap") + F.col("size")).over(order).cast("int")
     placed = spread.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("size"))
-    near = Window.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
+    upto = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    onward = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
 
     def about(kinds: tuple[int, ...]) -> Column:
-        return F.max(F.when(F.col("fits") & F.col("kind").isin(*kinds), 1)).over(near).isNotNull()
+        part = F.col("fits") & F.col("kind").isin(*kinds)
+        ended = F.max(F.when(part, F.col("stop"))).over(upto) >= F.col("start") - scope
+        begun = F.min(F.when(part, F.col("start"))).over(onward) <= F.col("stop") + scope
+        return F.coalesce(ended, F.lit(False)) | F.coalesce(begun, F.lit(False))
 
     joined = placed.withColumn("ident", about(IDENTIFIERS)).withColumn("secret", about(SECRETS))
     kind = F.col("kind")

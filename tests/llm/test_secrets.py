@@ -65,3 +65,11 @@ def test_random_texts(spark):
             at = max(at, b)
         assert clean[str(d), "r"] == (out + t[at:] if told else t)
     assert secrets.digests(secrets.scan(df.where("false"))).count() == 0
+
+
+def test_long_part_before_its_identifier(spark):
+    long = "Zk7" * 120
+    texts = [f"{long} client_id=web-01", f"client_id=web-01{'.' * 256} {long}", f"{long}{' ' * 257}client_id=web-01", f"{long}{' ' * 256}client_id=web-01"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.digests(secrets.scan(df)).collect()}
+    assert spans == {0: "opaque:0:360,ident:361:377", 1: "ident:0:272,opaque:273:633", 2: "", 3: "opaque:0:360,ident:616:632"}
