@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,16 @@ from stratakv.llm.mixing import hash_of, mixed
 from stratakv.llm.pieces import BYTE, NORMAL, SPACE, model_bytes, processor, vocabulary, word_pattern
 
 SHARPNESS = 1.0
-#: Arcs that a worker keeps; beyond that it starts anew.
-REMEMBERED = 5_500_000
+#: Bytes of words and arcs that a worker keeps, about; beyond that it starts anew.
+REMEMBERED = 64 << 20
+#: What a word, an arc and a node with its character are taken to cost.
+WORD_BYTES, ARC_BYTES, NODE_BYTES = 150, 9, 6
 #: Items by which its arrays grow.
-GROW = 1 << 20
-#: Characters of new words that are filtered at once.
-AT_ONCE = 50_000
+GROW = 1 << 19
+#: Characters of new words that are filtered at once, words that are sampled at once, and bytes of texts taken at once.
+AT_ONCE, WORDS_AT_ONCE, TEXTS_AT_ONCE = 32_000, 1 << 16, 1 << 19
+#: Characters of a text that is cut into words at once; longer ones are cut word by word.
+LONG = 1 << 19
 #: Factors of the two hashes by which runs of characters are looked up; both have to agree.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -78,7 +82,7 @@ class Lattice:
         self.ends: dict[str, int] = {}
         self.spelt: dict[str, int] = {}
         self.spellings: list[list[int]] = []
-        self.nodes = self.arcs = 0
+        self.nodes = self.arcs = self.held = 0
         self.reach, self.length, self.piece, self.first = (np.empty(1024, dtype=t) for t in (np.float32, np.uint8, np.int32, np.int32))
 
     def spell(self, char: str) -> int:
@@ -117,7 +121,7 @@ class Lattice:
             share[arc] = part / np.repeat(total, np.diff(np.append(first, len(arc))))
             if j % 32 == 0:  # only ratios matter: long words must not run out of range
                 tops = slot[start[: np.searchsorted(-size, -j)] + j - 1]
-                near = tops[:, None] - np.arange(self.longest)
+                near = tops[:, None] - np.arange(min(self.longest, j + 1))
                 sums[near] /= sums[tops][:, None]
         last = np.append(pos[1:] != pos[:-1], True)
         opens = np.flatnonzero(np.append(True, last[:-1]))
@@ -134,6 +138,7 @@ class Lattice:
         self.ends.update(zip(words, (self.nodes + start + size - 1).tolist(), strict=True))
         self.arcs += n
         self.nodes += len(text)
+        self.held += ARC_BYTES * n + NODE_BYTES * len(text) + WORD_BYTES * many
 
     def arcs_of(self, text: str, rank: np.ndarray) -> tuple[np.ndarray, ...]:
         """(last character, length, id, weight) of all pieces in a row of words, by last character and the longest, the likeliest, first. rank: place of each character in its word, from 1."""
@@ -176,28 +181,52 @@ class Lattice:
 
     def sample(self, texts: list[str], keys: list[int], seed: int) -> list[np.ndarray]:
         """Piece ids of each text, drawn by its key."""
-        if self.arcs > REMEMBERED:
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        words: list[str] = []
+        runs: list[tuple[int, int, int]] = []  # (text, place of its first word, words) of what is open
+
+        def flush() -> None:
+            for (k, _, _), ids in zip(runs, self.sample_words(words, [(keys[k], first, n) for k, first, n in runs], seed), strict=True):
+                out[k].append(ids)
+            words.clear()
+            runs.clear()
+
+        for k, text in enumerate(texts):
+            said = " " + text if text else ""
+            found = iter(self.pattern.findall(said)) if len(said) <= LONG else (m.group() for m in self.pattern.finditer(said))
+            first = 0
+            while some := list(islice(found, WORDS_AT_ONCE - len(words))):
+                words += some
+                runs.append((k, first, len(some)))
+                first += len(some)
+                if len(words) >= WORDS_AT_ONCE:
+                    flush()
+        flush()
+        return [x[0] if len(x) == 1 else np.concatenate([np.empty(0, dtype=np.int32), *x]) for x in out]
+
+    def sample_words(self, words: list[str], runs: list[tuple[int, int, int]], seed: int) -> list[np.ndarray]:
+        """Piece ids of each run of words: (key, place of its first word, words)."""
+        if self.held > REMEMBERED:
             self.clear()
-        found = [self.pattern.findall(" " + text) if text else [] for text in texts]
-        self.learn(set(chain.from_iterable(found)).difference(self.ends))
-        many = np.array([len(words) for words in found], dtype=np.int64)
-        node = np.fromiter(map(self.ends.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(many.sum()))
-        place = np.arange(len(node)) - np.repeat(np.cumsum(many) - many, many)
-        key = np.repeat(np.array([hash_of(seed, k) for k in keys], dtype=np.uint64), many)
+        self.learn(set(words).difference(self.ends))
+        many = np.array([n for _, _, n in runs], dtype=np.int64)
+        node = np.fromiter(map(self.ends.__getitem__, words), dtype=np.int64, count=len(words))
+        place = np.arange(len(node)) - np.repeat(np.cumsum(many) - many - np.array([first for _, first, _ in runs], dtype=np.int64), many)
+        key = np.repeat(np.array([hash_of(seed, k) for k, _, _ in runs], dtype=np.uint64), many)
         draw = mixed(key + (place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         of, ids, depth = np.arange(len(node)), [], np.zeros(len(node), dtype=np.int64)
         steps = []
         while len(of):
             draw = mixed(draw + np.uint64(0xD1B54A32D192ED03))
             arc = self.drawn(node, (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53)
-            steps.append(of)
+            steps.append(of.astype(np.int32))
             ids.append(self.piece[arc])
             depth[of] += 1
             back = self.length[arc]
             left = np.flatnonzero(back)
             of, node, draw = of[left], node[left] - back[left], draw[left]
         start = np.cumsum(depth) - depth
-        out = np.empty(int(depth.sum()), dtype=np.int64)
+        out = np.empty(int(depth.sum()), dtype=np.int32)
         for k, (w, p) in enumerate(zip(steps, ids, strict=True)):
             out[start[w] + depth[w] - 1 - k] = p
         cuts = np.concatenate(([0], np.cumsum(depth)))[np.concatenate(([0], np.cumsum(many)))]
@@ -230,14 +259,26 @@ def lattice(model: bytes, sharpness: float) -> Lattice:
 
 
 @lru_cache(maxsize=2)
-def spelt_pieces(model: bytes) -> list[bytes]:
-    """The bytes of each piece; none for those that stand for no text."""
-    return [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() if kind == NORMAL else b"" for p, kind in vocabulary(model)]
+def spelt_pieces(model: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, length) of what each piece stands for; no bytes for those that stand for no text."""
+    spelt = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() if kind == NORMAL else b"" for p, kind in vocabulary(model)]
+    size = np.array([len(x) for x in spelt], dtype=np.int64)
+    return np.frombuffer(b"".join(spelt), dtype=np.uint8), np.cumsum(size) - size, size
 
 
-def decoded(model: bytes, ids: list[int]) -> str:
-    """The text that was encoded; the space put before it is left out."""
-    return b"".join(map(spelt_pieces(model).__getitem__, ids))[1:].decode("utf-8", errors="replace")
+def decoded_bytes(model: bytes, ids: np.ndarray) -> bytes:
+    """The UTF-8 text that was encoded; the space put before it is left out."""
+    spelt, start, size = spelt_pieces(model)
+    parts = []
+    for at in range(0, len(ids), 1 << 15):
+        some = ids[at : at + (1 << 15)]
+        many = size[some]
+        parts.append(spelt[np.arange(int(many.sum())) + np.repeat(start[some] - np.cumsum(many) + many, many)].tobytes())
+    return b"".join(parts)[1:]
+
+
+def decoded(model: bytes, ids: list[int] | np.ndarray) -> str:
+    return decoded_bytes(model, np.asarray(ids, dtype=np.int64)).decode("utf-8", errors="replace")
 
 
 # ---------------------------------------------------------------- distributed
@@ -248,32 +289,38 @@ def encode(docs: DataFrame, key: Column | None = None, path: str | None = None,
 
     Null texts give null, empty ones an empty array. Rows keep their number; a column named pieces is replaced.
     """
-    return sampled(docs, key, path, seed, sharpness, ["pieces"])
+    return sampled(docs, docs.drop("pieces").columns, key, path, seed, sharpness, ["pieces"])
 
 
-def sampled(docs: DataFrame, key: Column | None, path: str | None, seed: int, sharpness: float, wanted: list[str]) -> DataFrame:
-    """docs with columns by name: pieces, and decoded_sha256, the digest of what the pieces decode to."""
+def sampled(docs: DataFrame, keep: list[str], key: Column | None, path: str | None, seed: int, sharpness: float, wanted: list[str]) -> DataFrame:
+    """The columns `keep` of docs, then by name: pieces; decoded_sha256, the digest of what the pieces decode to; lossless, whether that is the very text. The text comes back from the workers only if it is kept."""
     model = model_bytes(path)
-    docs = docs.drop(*wanted, "__key")
-    keyed = docs.withColumn("__key", F.coalesce((F.col("doc_id") if key is None else key).cast("long"), F.lit(-1)))
-    at, last = docs.columns.index("text"), len(docs.columns)
-    kinds = {"pieces": T.ArrayType(T.IntegerType()), "decoded_sha256": T.StringType()}
+    kept = [F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)]  # so that no name clashes
+    seeded = F.coalesce((F.col("doc_id") if key is None else key).cast("long"), F.lit(-1))
+    keyed = docs.select(*kept, F.col("text").cast("string").alias("text"), seeded.alias("seed"))
+    kinds = {"pieces": T.ArrayType(T.IntegerType()), "decoded_sha256": T.StringType(), "lossless": T.BooleanType()}
+    names = [f"k{n}" for n in range(len(keep))]
 
     def run(batches: Batches) -> Batches:
         own = lattice(model, sharpness)
         for batch in batches:
-            for part in slices(batch, 1 << 20):
-                texts = part.column(at).to_pylist()
-                found = own.sample([x or "" for x in texts], part.column(last).to_pylist(), seed)
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, dtype=np.int32)), mask=pa.array([x is None for x in texts]))
-                more = {"pieces": lists}
-                if "decoded_sha256" in wanted:
-                    more["decoded_sha256"] = pa.array([None if x is None else hashlib.sha256(decoded(model, ids.tolist()).encode()).hexdigest() for x, ids in zip(texts, found, strict=True)], type=pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[:last], *(more[w] for w in wanted)], names=[*part.schema.names[:last], *wanted])
+            for part in slices(batch, TEXTS_AT_ONCE):
+                said = part.column(len(names)).to_pylist()
+                found = own.sample([x or "" for x in said], part.column(len(names) + 1).to_pylist(), seed)
+                more: dict[str, pa.Array] = {}
+                if "pieces" in wanted:
+                    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                    more["pieces"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, dtype=np.int32), *found])), mask=pa.array([x is None for x in said]))
+                if len(wanted) > 1:
+                    back = [None if x is None else decoded_bytes(model, ids) for x, ids in zip(said, found, strict=True)]
+                    more["decoded_sha256"] = pa.array([None if x is None else hashlib.sha256(x).hexdigest() for x in back], type=pa.string())
+                    more["lossless"] = pa.array([None if x is None else x == y.encode() for x, y in zip(back, said, strict=True)], type=pa.bool_())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(more[w] for w in wanted)], names=[*names, *wanted])
         own.clear()  # what was learnt would stay beside other workers' memory
 
-    return keyed.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *(T.StructField(w, kinds[w]) for w in wanted)]))
+    fields = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)]
+    made = keyed.mapInArrow(lean(run), T.StructType([*fields, *(T.StructField(w, kinds[w]) for w in wanted)]))
+    return made.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *wanted)
 
 
 def decode(coded: DataFrame, path: str | None = None, name: str = "decoded") -> DataFrame:
@@ -285,19 +332,20 @@ def decode(coded: DataFrame, path: str | None = None, name: str = "decoded") ->
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for part in slices(batch, 4 << 20):
-                texts = [None if x is None else decoded(model, x) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, type=pa.string())], names=[*part.schema.names, name])
+                said = [None if not x.is_valid else decoded(model, x.values.to_numpy(zero_copy_only=False)) for x in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, type=pa.string())], names=[*part.schema.names, name])
 
     return coded.mapInArrow(lean(run), T.StructType([*coded.schema.fields, T.StructField(name, T.StringType())]))
 
 
-def checked(docs: DataFrame, path: str | None = None, seed: int = 1) -> DataFrame:
-    """encode(docs) with lossless: whether the pieces decode to the very text, by decoding them. Null texts give nulls."""
-    found = sampled(docs, None, path, seed, SHARPNESS, ["pieces", "decoded_sha256"])
-    return found.withColumn("lossless", F.col("decoded_sha256") == F.sha2("text", 256))
+def checked(docs: DataFrame, keep: list[str] | None = None, path: str | None = None, seed: int = 1) -> DataFrame:
+    """The columns `keep` of docs (all by default) with pieces, decoded_sha256 and lossless: whether the pieces decode to the very text, by decoding them. Null texts give nulls."""
+    wanted = ["pieces", "decoded_sha256", "lossless"]
+    return sampled(docs, docs.drop(*wanted).columns if keep is None else keep, None, path, seed, SHARPNESS, wanted)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_pieces, pieces_xxh64, decoded_sha256, lossless, of every row; a null text counts as empty."""
-    found = checked(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path)
-    return found.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_xxh64"), "decoded_sha256", "lossless")
+    text = F.coalesce("text", F.lit(""))
+    found = checked(docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")), ["doc_id", "n_bytes"], path)
+    return found.select("doc_id", "n_bytes", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_xxh64"), "decoded_sha256", "lossless")
