@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,38 +25,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set, as in tests."""
+    """The shared folder the cluster names; a temporary one only where none is set on one machine, as in tests."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="stratakv-checkpoint-")
         spark.sparkContext.setCheckpointDir(place)
     return place
 
 
-#: Tables written by cut(), by application.
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Tables written by cut() that are still there.
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder and read from there, so that nothing above is computed twice.
 
     A table rather than checkpoint(): Spark keeps a checkpoint's inferred constraints, and in loops they multiply
-    until planning takes all of the driver's memory. The tables go when the driver ends.
+    until planning takes all of the driver's memory. The tables go by dropped(), or else when the driver ends.
     """
     spark = df.sparkSession
     if not _WRITTEN:
         atexit.register(_forget)
     place = f"{checkpoint_dir(spark)}/stratakv-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, place))
+    _WRITTEN[place] = spark
     df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    out = spark.read.schema(df.schema).parquet(place)
+    out._place = place
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables written by cut() that nothing reads any more."""
+    for df in tables:
+        if place := getattr(df, "_place", None):
+            _delete(_WRITTEN.pop(place, None), place)
+
+
+def _delete(spark: SparkSession | None, place: str) -> None:
+    if spark is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _forget() -> None:
-    for spark, place in _WRITTEN:
+    for place, spark in _WRITTEN.items():
         with contextlib.suppress(Exception):  # the session may have ended before
-            path = spark._jvm.org.apache.hadoop.fs.Path(place)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, place)
 
 
 def word_count(text: Column) -> Column:
@@ -76,6 +94,8 @@ def lean(fn: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
 
     return run
 

@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.common import by_batch, cut, lean, texts
-from stratakv.llm.components import components
+from stratakv.llm.common import by_batch, cut, dropped, lean, texts
+from stratakv.llm.components import components, joined
 
 #: Rows of a bucket that one task compares.
 HOT = 1024
@@ -158,21 +158,6 @@ def above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n items is joined to by the pairs."""
-    root = np.arange(n)
-    while len(i):
-        a, b = root[i], root[j]
-        apart = a != b
-        if not apart.any():
-            break
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (up := root[root]).tobytes() != root.tobytes():
-            root = up
-    return root
-
-
 # ---------------------------------------------------------------- distributed
 
 
@@ -258,7 +243,7 @@ def compare(fp: np.ndarray, t: np.ndarray, starts: np.ndarray, side: np.ndarray,
         values = fp[pick].view(np.uint64)
         i, j = near_pairs(values, np.flatnonzero(changes([group])), radius, kinds[kind])
         apart = (side[pick][i] != side[pick][j]) | (side[pick][i] < 0)
-        root = forest(len(values), i[apart], j[apart])
+        root = joined(len(values), i[apart], j[apart])
         moved = np.flatnonzero(root != np.arange(len(root)))
         out_u.append(fp[pick][moved])
         out_v.append(fp[pick][root[moved]])
@@ -282,18 +267,20 @@ def near_dups(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "do
 
 # ---------------------------------------------------------------- near copies by similarity
 
-#: Leading keys of a document that its first comparison reads, and of those, how many are keys of the first blocks.
-#: Both only propose pairs.
-SKETCH = 128
-KEYS = 3
-#: What fills up shorter sketches in a table of them.
-PAD = 0xFFFFFFFF
+#: Minima of a set, and how many of them make the key of a block. Both only propose pairs.
+MINIMA, BAND = 32, 4
+#: Rows of a block that are compared at once; a larger block is a star of such parts.
+PART = 512
 #: Bits in which the fingerprints of proposed pairs differ at most.
 WIDE = 18
+#: Parity bits of a set of up to so many elements. Longer rows fold to shorter ones.
+PARITY = ((1024, 512), (8192, 2048), (1 << 62, 8192))
 #: Texts, about, that common shingles are counted in; how many texts make a shingle common; how many such are told apart.
 SAMPLE, COMMON, MOST = 20_000, 5, 1 << 16
 #: Added to what is compared with a product of similarities, so that rounding drops no pair.
 EPS = 1e-6
+#: Odd factors, by which a set's hashes are put in another order for each of its minima.
+FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 2 * MINIMA, 2)], dtype=np.uint64)
 
 
 def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
@@ -328,8 +315,45 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndar
 
 
 def parity(hashes: np.ndarray) -> bytes:
-    """512 bits, each the parity of how many of the hashes fall to it: two sets differ in as many elements at least as these differ in bits."""
-    return np.packbits(np.bincount((hashes >> np.uint64(8)).astype(np.int64) & 511, minlength=512) & 1).tobytes()
+    """Bits, each the parity of how many of the hashes fall to it: two sets differ in as many elements at least as these differ in bits."""
+    width = next(bits for most, bits in PARITY if len(hashes) <= most)
+    return np.packbits(np.bincount((hashes >> np.uint64(8)).astype(np.int64) & width - 1, minlength=width) & 1).tobytes()
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of blocks: each the hash of BAND of the set's MINIMA minima, which two sets share as often as they are alike. None for an empty set."""
+    if not len(hashes):
+        return np.empty(0, dtype=np.int64)
+    least = np.full(MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 1 << 13):
+        np.minimum(least, (hashes[at : at + (1 << 13), None] * FACTORS).min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(-1, BAND))], dtype=np.uint64).view(np.int64)
+
+
+class Parities:
+    """Parity bits of many sets, as rows of uint64 in each width."""
+
+    def __init__(self, rows: list[bytes]) -> None:
+        self.kind = np.array([next(k for k, (_, bits) in enumerate(PARITY) if 8 * len(x) == bits) for x in rows], dtype=np.int64)
+        self.place, self.folded = [], []
+        for k, (_, bits) in enumerate(PARITY):
+            some = np.flatnonzero(self.kind >= k)
+            place = np.zeros(len(rows), dtype=np.int64)
+            place[some] = np.arange(len(some))
+            self.place.append(place)
+            self.folded.append(np.array([np.bitwise_xor.reduce(np.frombuffer(rows[r], dtype=np.uint64).reshape(-1, bits // 64), axis=0) for r in some], dtype=np.uint64).reshape(len(some), bits // 64))
+
+    def differing(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bits that differ, bits compared) of pairs."""
+        kind = np.minimum(self.kind[i], self.kind[j])
+        out = np.zeros(len(i), dtype=np.int64)
+        for k, (_, bits) in enumerate(PARITY):
+            pick = np.flatnonzero(kind == k)
+            rows, place, step = self.folded[k], self.place[k], max(1, (1 << 22) // bits)
+            for at in range(0, len(pick), step):
+                some = pick[at : at + step]
+                out[some] = np.bitwise_count(rows[place[i[some]]] ^ rows[place[j[some]]]).sum(axis=1)
+        return out, np.array([bits for _, bits in PARITY])[kind]
 
 
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
@@ -345,42 +369,42 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in top.collect()], dtype=np.int64).view(np.uint64))
 
 
-def similarities(rows: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of each pair of rows of sorted leading keys, padded with PAD; sizes: keys in each row."""
-    both = np.sort(np.concatenate([rows[i], rows[j]], axis=1), axis=1)
-    real = both != np.uint32(PAD)
-    new = real.copy()
-    new[:, 1:] &= both[:, 1:] != both[:, :-1]
-    rank = np.cumsum(new, axis=1, dtype=np.int32)
-    known = np.minimum(np.minimum(sizes[i], sizes[j]), rank[:, -1])
-    shared = (real & ~new & (rank <= known[:, None])).sum(axis=1)
-    return np.where(known == 0, 1.0, shared / np.maximum(known, 1))
+def estimated(n_i: np.ndarray, n_j: np.ndarray, differing: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Likeliest Jaccard similarity of sets of n_i and n_j elements whose parity bits differ so often."""
+    apart = -bits / 2 * np.log(1 - 2 * np.minimum(differing, bits * 0.49) / bits)
+    apart = np.maximum(apart, np.abs(n_i - n_j))
+    return (n_i + n_j - apart) / np.maximum(n_i + n_j + apart, 1)
+
 
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places of the pairs that make a spanning forest of n items, earlier pairs first."""
+    root, left, chosen = np.arange(n), np.arange(len(i)), [np.empty(0, dtype=np.int64)]
+    while len(left):
+        a, b = root[i[left]], root[j[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        best = np.full(n, len(i))
+        np.minimum.at(best, a, left)
+        np.minimum.at(best, b, left)
+        pick = np.unique(best[best < len(i)])
+        chosen.append(pick)
+        root = joined(n, np.concatenate([np.arange(n), i[pick]]), np.concatenate([root, j[pick]]))
+    return np.concatenate(chosen)
 
-def proposed(node: np.ndarray, fp: np.ndarray, sketches: np.ndarray, starts: np.ndarray, side: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the pairs of a block that the fingerprints and then the leading keys find alike."""
+
+def proposed(fp: np.ndarray, n: np.ndarray, bits: list[bytes], starts: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block that the fingerprints, bit-sliced, and then the parity bits find alike: a spanning forest of the likeliest."""
     i, j = near_pairs(fp.view(np.uint64), starts, radius)
-    apart = (side[i] != side[j]) | (side[i] < 0)
-    i, j = i[apart], j[apart]
-    used = np.unique(np.concatenate([i, j]))
-    sizes = np.array([len(sketches[k]) for k in used], dtype=np.int64)
-    rows = np.full((len(used), max(sizes, default=0)), PAD, dtype=np.uint32)
-    for n, k in enumerate(used):
-        rows[n, : sizes[n]] = np.minimum(np.asarray(sketches[k], dtype=np.int64).view(np.uint64) >> np.uint64(32), np.uint64(PAD - 1))
-    root = np.arange(len(node))
-    for at in range(0, len(i), 512):
-        a, b = i[at : at + 512], j[at : at + 512]
-        open_ = root[a] != root[b]
-        a, b = a[open_], b[open_]
-        if len(a):
-            alike = similarities(rows, sizes, np.searchsorted(used, a), np.searchsorted(used, b)) >= similarity
-            root = forest(len(node), np.concatenate([np.arange(len(node)), a[alike]]), np.concatenate([root, b[alike]]))
-    moved = np.flatnonzero(root != np.arange(len(root)))
-    return node[moved], node[root[moved]]
-
-
-def crossing(group: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: np.ndarray, similarity: float, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of a group and of two components that can be `similarity` alike, by their sizes n, their parity bits (rows of uint64), and if their first common key is at position `at` of each. Rows lie by group, then n."""
+    n = n.astype(np.float64)
+    alike = estimated(n[i], n[j], *Parities(bits).differing(i, j))
+    order = np.argsort(-alike, kind="stable")
+    order = order[alike[order] >= similarity]
+    i, j = i[order], j[order]
+    pick = spanning(len(fp), i, j)
+    return i[pick], j[pick]
+
+
+def crossing(group: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: Parities, similarity: float, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a group and of two components that can be `similarity` alike, by their sizes n, their parity bits, and if their first common key is at position `at` of each. Rows lie by group, then n."""
     place = group << 32
     upto = np.searchsorted(place + n, place + np.minimum(n / similarity + EPS, 2.0**31).astype(np.int64), side="right")
     many = upto - np.arange(len(n)) - 1
@@ -395,7 +419,7 @@ def crossing(group: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray,
         i, j = i[keep], j[keep]
         keep = np.minimum(n[i] - at[i], n[j] - at[j]) >= similarity / (1 + similarity) * (n[i] + n[j]) - EPS
         i, j = i[keep], j[keep]
-        keep = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + EPS
+        keep = bits.differing(i, j)[0] <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + EPS
         yield i[keep], j[keep]
         first = last
 
@@ -405,7 +429,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, sim
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     spot = F.pmod(F.xxhash64("doc_id", "of"), F.lit(1 << 25))
     # a Bloom filter of one hash and 4 MB at most, so that only texts of pairs are moved
-    words = cut(reps.join(wanted, "node").select("doc_id", F.col("node").alias("of"))).groupBy(F.shiftright(spot, 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, of), 64) as int))")).alias("bits")).toArrow()
+    chosen = cut(reps.join(wanted, "node").select("doc_id", F.col("node").alias("of")))
+    words = chosen.groupBy(F.shiftright(spot, 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, of), 64) as int))")).alias("bits")).toArrow()
     bloom = np.zeros(1 << 19, dtype=np.uint64)
     bloom[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
 
@@ -426,7 +451,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, sim
     at = docs.select("of", spot.alias("at"), "text")
     whole = cut(at.mapInArrow(by_batch(sets), "node long, set binary").dropDuplicates(["node"]))
     both = pairs.join(whole.toDF("u", "a"), "u").join(whole.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    return cut(both.mapInArrow(by_batch(same), "u long, v long"))
+    out = cut(both.mapInArrow(by_batch(same), "u long, v long"))
+    dropped(chosen, whole)
+    return out
 
 
 def alike(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
@@ -438,52 +465,53 @@ def alike(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int =
         made = [shingle_set(x, size) for x in texts(batch.column(2))]
         prints = pa.array(np.array([majority(s) for s in made], dtype=np.uint64).view(np.int64))
         whole = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in made], dtype=np.uint64).view(np.int64))
-        keys = pa.array([prefix(s, similarity, common).view(np.int64) for s in made], type=pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, whole, pa.array([len(s) for s in made], type=pa.int32()), pa.array([parity(s) for s in made], type=pa.binary()), keys], names=["doc_id", "of", "fp", "sk", "n", "bits", "keys"])
-
-    prints = cut(docs.mapInArrow(by_batch(run), "doc_id long, of long, fp long, sk long, n int, bits binary, keys array<long>"))
-    reps = prints.where("doc_id is not null").groupBy("fp", "sk").agg(F.min(F.struct("of", "doc_id")).alias("m"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
-    reps = cut(reps.select("fp", "sk", F.col("m.of").alias("node"), F.col("m.doc_id").alias("doc_id"), "least", "n", "bits", "keys"))
-    keyed = reps.select("node", F.explode(F.slice("keys", 1, KEYS)).alias("key"))
-    shared = keyed.groupBy("key").count().where("count > 1").select("key")  # most keys are one document's own
-    few = dealt(keyed.join(shared, "key"), ["key"], "node").select("key", "part_a", "part_b", "chunk", "node")
-    ready = few.join(reps.select("node", "fp", F.slice("keys", 1, SKETCH).alias("sketch")), "node").select("key", "part_a", "part_b", "chunk", "fp", "node", "sketch")
-    ready = ready.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b")
+        longs = pa.list_(pa.int64())
+        bands, keys = pa.array([band_keys(s) for s in made], type=longs), pa.array([prefix(s, similarity, common).view(np.int64) for s in made], type=longs)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, whole, pa.array([len(s) for s in made], type=pa.int32()), pa.array([parity(s) for s in made], type=pa.binary()), bands, keys], names=["doc_id", "of", "fp", "sk", "n", "bits", "bands", "keys"])
+
+    prints = cut(docs.mapInArrow(by_batch(run), "doc_id long, of long, fp long, sk long, n int, bits binary, bands array<long>, keys array<long>"))
+    kept = [F.first(c).alias(c) for c in ("n", "bits", "bands", "keys")]
+    reps = prints.where("doc_id is not null").groupBy("fp", "sk").agg(F.min(F.struct("of", "doc_id")).alias("m"), F.min("doc_id").alias("least"), *kept)
+    reps = cut(reps.select("fp", "sk", F.col("m.of").alias("node"), F.col("m.doc_id").alias("doc_id"), "least", "n", "bits", "bands", "keys"))
+    keyed = reps.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1").select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+    # a large block is cut into parts, and its first part is compared with each: what this leaves apart is found below
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
+    part = F.explode(F.when(own == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))).alias("part")
+    ready = keyed.join(shared, "key").select("key", "node", part).join(reps.select("node", "fp", "n", "bits"), "node").select("key", "part", "fp", "n", "node", "bits")
+    ready = ready.repartition("key", "part").sortWithinPartitions("key", "part")
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, a, b, chunk, fp, node, some in whole_groups(batches, 3, 1 << 12):
-            starts = np.flatnonzero(changes([key, a, b]))
-            sizes = np.diff(np.append(starts, len(key)))
-            many = np.repeat(sizes > 1, sizes)
-            group = np.repeat(np.arange(len(starts)), sizes)[many]
-            if len(group):
-                u, v = proposed(node[many], fp[many], some[many], np.flatnonzero(changes([group])), np.where(a == b, -1, chunk)[many], radius, similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    sure = confirmed(cut(ready.mapInArrow(lean(block), "u long, v long").distinct()), docs, reps, size, similarity)
+        for key, part, fp, n, node, bits in whole_groups(batches, 2, 1 << 12):
+            i, j = proposed(fp, n, list(bits), np.flatnonzero(changes([key, part])), radius, similarity)
+            u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    pairs = cut(ready.mapInArrow(lean(block), "u long, v long").distinct())
+    sure = confirmed(pairs, docs, reps, size, similarity)
     found = components(sure)
 
-    keyed = reps.select("node", "n", F.posexplode("keys").alias("at", "key"))
-    shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    rows = cut(keyed.join(shared, "key").join(found, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("comp")))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = dealt(rows.join(mixed, "key"), ["key"], "node").join(reps.select("node", "bits"), "node").select("key", "part_a", "part_b", "n", "at", "comp", "chunk", "node", "bits")
+    placed = reps.join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"), "keys")
+    mixed = placed.select("comp", F.explode("keys").alias("key")).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    rows = cut(placed.select("node", "n", "comp", F.posexplode("keys").alias("at", "key")).join(mixed, "key"))
+    open_ = dealt(rows, ["key"], "node").join(reps.select("node", "bits"), "node").select("key", "part_a", "part_b", "n", "at", "comp", "chunk", "node", "bits")
     open_ = open_.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b", "n")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, a, b, n, at, comp, chunk, node, bits in whole_groups(batches, 3):
+        for key, a, b, n, at, comp, chunk, node, bits in whole_groups(batches, 3, 1 << 14):
             group = np.cumsum(changes([key, a, b]))
-            planes = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(-1, 8)
-            for i, j in crossing(group, n.astype(np.int64), at, comp, np.where(a == b, -1, chunk), planes, similarity):
+            for i, j in crossing(group, n.astype(np.int64), at, comp, np.where(a == b, -1, chunk), Parities(list(bits)), similarity):
                 u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
                 pairs = np.unique(np.stack([u, v], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
 
-    rest = confirmed(cut(open_.mapInArrow(lean(across), "u long, v long").distinct()), docs, reps, size, similarity)
+    others = cut(open_.mapInArrow(lean(across), "u long, v long").distinct())
+    rest = confirmed(others, docs, reps, size, similarity)
     roots = components(sure.union(rest))
     placed = cut(reps.select("fp", "sk", "node", "least").join(roots, "node", "left").select("fp", "sk", "least", F.coalesce("root", "node").alias("root")))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = placed.join(smallest, "root").select("fp", "sk", "root", "component_id")
+    dropped(reps, pairs, sure, found, rows, others, rest, roots)
     return prints.select("doc_id", "of", "fp", "sk").join(placed, ["fp", "sk"], "left").select("doc_id", "of", "fp", "root", "component_id")
 
 
@@ -492,9 +520,9 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
 
     No pair is lost: every link is decided on the whole sets, and every pair that shares a key of prefix() is decided, but for
     those already in one component and those that sizes, positions and parity bits rule out. To have few such pairs left, blocks of
-    documents that share one of their first keys are compared before, by fingerprints of the sets, bit-sliced, and
-    leading keys; a block proposes a spanning forest only. Documents of equal sets are folded first, and large blocks are
-    dealt to pairs of chunks. Texts without words are all alike. component_id is the smallest doc_id of the
+    documents that share BAND minima are compared before, by fingerprints of the sets, bit-sliced, and
+    parity bits; a block proposes a spanning forest only. Documents of equal sets are folded first, and large blocks are
+    dealt out. Texts without words are all alike. component_id is the smallest doc_id of the
     component; that of a null id is that of an equal set, or null. Rows that share an id are rows of their own. Other columns are ignored.
     """
     return alike(docs, size, similarity, radius).select("doc_id", "fp", "component_id")

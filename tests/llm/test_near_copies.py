@@ -57,6 +57,7 @@ def test_against_brute_force(spark):
 
 def test_hot_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash.dealt, "__defaults__", (8,))
+    monkeypatch.setattr(simhash, "PART", 8)
     rows = corpus(random.Random(2), 30)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == brute(rows)
