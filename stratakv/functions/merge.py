@@ -32,24 +32,25 @@ class Merge:
             raise MergeError(f"{self.name} needs the order of values")
         return self.fold(value, order)
 
-    def finish(self, key: Column, folded: Column) -> Column:
+    def finish(self, key: Column, folded: Column, again: bool = False) -> Column:
+        """again: what is folded are results of this very merge."""
         return folded
 
 
 @dataclass(frozen=True)
 class MergeUdf(Merge):
-    """merge(key, values) in Python, values in order. Also called on single values."""
+    """merge(key, values) in Python, values in order. Also called on single values, but not on a single result of its own."""
 
     function: Callable[[bytes, list[bytes]], bytes] = lambda key, values: values[0]
     returns: str = "binary"
 
-    def finish(self, key: Column, folded: Column) -> Column:
+    def finish(self, key: Column, folded: Column, again: bool = False) -> Column:
         function, name = self.function, self.name
 
         def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             for keys, values in batches:
                 try:
-                    yield pd.Series([function(k, list(v)) for k, v in zip(keys, values, strict=True)], dtype=object)
+                    yield pd.Series([v[0] if again and len(v) == 1 else function(k, list(v)) for k, v in zip(keys, values, strict=True)], dtype=object)
                 except Exception as e:
                     raise MergeError(f"merge function {name} failed: {e}") from e
 
@@ -84,7 +85,7 @@ SUM_U32 = Merge("sum_u32", _wrapping)
 COUNT = Merge("count", lambda v, o: F.sum(v.cast("long")))
 BIT_OR = Merge("bit_or", lambda v, o: F.bit_or(v))
 CONCAT = Merge("concat", lambda v, o: F.array_join(in_order(v, o), ""), True)
-CONCAT_BYTES = Merge("concat_bytes", lambda v, o: F.aggregate(in_order(v, o), F.unhex(F.lit("")), lambda a, x: F.concat(a, x)), True)
+CONCAT_BYTES = Merge("concat_bytes", lambda v, o: F.unhex(F.array_join(F.transform(in_order(v, o), F.hex), "")), True)
 SET_UNION = Merge("set_union", lambda v, o: F.array_join(F.array_sort(F.collect_set(v)), ","))
 
 

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 
 from stratakv.plans.ranged import as_of, with_neighbours
 
+#: Blocks hit up to which a batch of seeks names the ranges to read, and ranges it names at most; neighbours are joined to one range.
+NAMED_BLOCKS, NAMED_RANGES = 4096, 64
+#: Probes of a block, on average, up to which entries are compared with the probes of their block; more are sorted among them.
+SPARSE = 64
+
 
 def first(entries: DataFrame) -> DataFrame:
     return entries.orderBy("key").limit(1)
@@ -68,9 +73,9 @@ def walk(entries: DataFrame) -> DataFrame:
 
 
 def equal_to_many(probes: DataFrame, entries: DataFrame) -> DataFrame:
-    """(probe, key, val) for each probe row, nulls where the key is missing."""
-    found = entries.select("key", "val")
-    return probes.join(found, F.col("probe") == F.col("key"), "left").select("probe", "key", "val")
+    """(probe, key, val) for each probe row, nulls where the key is missing. Entries meet the distinct probes in an inner join, of which Spark can broadcast either side."""
+    asked = probes.select("probe").where("probe is not null").distinct()
+    return _each(probes, asked.join(entries.select("key", "val"), F.col("probe") == F.col("key")))
 
 
 def at_or_above_many(probes: DataFrame, entries: DataFrame) -> DataFrame:
@@ -84,3 +89,56 @@ def at_or_below_many(probes: DataFrame, entries: DataFrame) -> DataFrame:
 def _each(probes: DataFrame, found: DataFrame) -> DataFrame:
     """Found entries of distinct probes, for each probe row."""
     return probes.select("probe").join(found.withColumnRenamed("probe", "__p"), F.col("probe") == F.col("__p"), "left").select("probe", "key", "val")
+
+
+def hits(probes: DataFrame, index: DataFrame, up: bool) -> DataFrame:
+    """(probe, file, block, first_key, last_key): the block that holds the entry at or above (up) or below each distinct probe. index: (file, block, first_key, last_key)."""
+    end = index.select(F.col("last_key" if up else "first_key").alias("key"), F.struct("file", "block", "first_key", "last_key").alias("val"))
+    return as_of(probes, end, not up).where("val is not null").select("probe", "val.*")
+
+
+def blocks_read(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """entries within the key ranges of the blocks hit, as predicates that reach the scan; all entries if more than NAMED_BLOCKS are hit."""
+    some = found.select("first_key", "last_key").distinct().limit(NAMED_BLOCKS + 1).collect()
+    if len(some) > NAMED_BLOCKS:
+        return entries
+    ranges = sorted((r.first_key, r.last_key) for r in some)
+    step = -(-len(ranges) // NAMED_RANGES)
+    condition = F.lit(False)
+    for at in range(0, len(ranges), max(step, 1)):
+        low, high = ranges[at][0], max(r[1] for r in ranges[at : at + step])
+        condition = condition | F.col("key").between(F.lit(low), F.lit(high))
+    return entries.where(condition)
+
+
+def _in(probes: DataFrame, entries: DataFrame, index: DataFrame, up: bool) -> DataFrame:
+    """at_or_above_many() or at_or_below_many() over entries (key, val, file, block) of a dataset with a block index.
+
+    The probes are looked up in the index, and only the blocks hit are read. Each entry meets the probes of its own block, and what
+    they need of it is aggregated before anything moves, so values are not shuffled. Where a block has many probes they are sorted among its entries instead.
+    """
+    found = hits(probes, index, up)
+    entries = blocks_read(entries, found)
+    asked = found.groupBy("file", "block").agg(F.array_sort(F.collect_list("probe")).alias("probes"))
+    mean = asked.agg(F.avg(F.size("probes")).alias("n")).first().n or 0
+    if mean > SPARSE:
+        return _each(probes, as_of(probes, entries.select("key", "val"), not up))
+    met = entries.join(asked, ["file", "block"])
+    near = F.filter("probes", (lambda p: p <= F.col("key")) if up else (lambda p: p >= F.col("key")))
+    best = F.min if up else F.max
+    served = met.select("file", "block", F.get(near, F.size(near) - 1 if up else F.lit(0)).alias("at"), F.struct("key", "val").alias("e")).where("at is not null")
+    served = served.groupBy("file", "block", "at").agg(best("e").alias("e"))  # a row for each probe at most
+    reached = found.select("probe", "file", "block").join(served, ["file", "block"]).where(F.col("at") >= F.col("probe") if up else F.col("at") <= F.col("probe"))
+    return _each(probes, reached.groupBy("probe").agg(best("e").alias("e")).select("probe", "e.key", "e.val"))
+
+
+def at_or_above_in(probes: DataFrame, entries: DataFrame, index: DataFrame) -> DataFrame:
+    return _in(probes, entries, index, True)
+
+
+def at_or_below_in(probes: DataFrame, entries: DataFrame, index: DataFrame) -> DataFrame:
+    return _in(probes, entries, index, False)
+
+
+def equal_to_in(probes: DataFrame, entries: DataFrame, index: DataFrame) -> DataFrame:
+    return equal_to_many(probes, blocks_read(entries, hits(probes, index, True)))

@@ -10,9 +10,8 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.errors import MergeError
-from stratakv.functions.merge import Merge
-from stratakv.operators.sorter import fold
+from stratakv.functions.merge import Merge, MergeUdf
+from stratakv.operators.sorter import empty, fold
 
 if TYPE_CHECKING:
     from stratakv.sources.store import Reader, Writer
@@ -52,9 +51,7 @@ class Merger:
         return MergerBuilder(merge)
 
     def rows(self) -> DataFrame:
-        """(source_index, key, val, ord) of all sources; each source's filter reaches its scan."""
-        if not self.sources:
-            raise MergeError("a merger needs a source; an empty DataFrame gives an empty result")
+        """(source_index, key, val, ord) of all sources, one at least; each source's filter reaches its scan."""
         tagged = []
         for k, (source, after) in enumerate(self.sources):
             some = source if after is None else source.where(F.col("key") > F.lit(after))
@@ -63,9 +60,13 @@ class Merger:
         return reduce(DataFrame.unionByName, tagged)
 
     def merged(self) -> DataFrame:
-        return fold(self.rows(), self.merge, "ord")
+        """(key, val), in no order; binary and empty without sources."""
+        return fold(self.rows(), self.merge, "ord") if self.sources else empty()
 
     def into_stream_merger_iter(self) -> DataFrame:
+        """(key, val) by key, with one shuffle for an ordered merge, as a sorter does it."""
+        if self.sources and self.merge.ordered and not isinstance(self.merge, MergeUdf):
+            return fold(self.rows().repartitionByRange("key"), self.merge, "ord").orderBy("key")
         return self.merged().orderBy("key")
 
     def write_into_stream_writer(self, writer: Writer) -> Reader:

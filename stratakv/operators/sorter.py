@@ -11,11 +11,13 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratakv.errors import MergeError
-from stratakv.functions.merge import Merge
+from stratakv.functions.merge import Merge, MergeUdf
+from stratakv.model import KV
 from stratakv.sources.codecs import Codec
 
 if TYPE_CHECKING:
@@ -27,10 +29,34 @@ LEAST_MEMORY = 10 << 20
 ENTRY_OVERHEAD = 16
 
 
-def fold(rows: DataFrame, merge: Merge, order: str | None) -> DataFrame:
-    """(key, val): one row for each key of rows (key, val, and the order column if named)."""
+#: Values of one key by which a Python merge function folds first, as a power of two: those whose seq differs in lower bits only.
+RUN_BITS = 12
+
+
+def fold(rows: DataFrame, merge: Merge, order: str | None, *by: str) -> DataFrame:
+    """(*by, key, val): one row for each key of rows (key, val, and the order column, a struct that ends in seq, if named).
+
+    A Python merge function folds runs of a key's values first, then what these gave, in their order: so no row holds
+    all values of a key, but for a seq that repeats. Without an order a run is what one task has of a key.
+    """
+    if isinstance(merge, MergeUdf):
+        if order:
+            kinds = {f.name: f.dataType for f in rows.schema[order].dataType.fields}
+            cut = F.shiftright(F.col(f"{order}.seq"), RUN_BITS) if isinstance(kinds["seq"], T.IntegralType) else F.lit(0)
+            run = F.struct(*[F.col(f"{order}.{f}") for f in kinds if f != "seq"], cut.alias("seq"))
+        else:
+            run = F.struct(F.spark_partition_id().alias("seq"))
+        runs = rows.withColumn("__run", run)
+        folded = merge.aggregate(F.col("val"), F.col(order) if order else None)
+        rows = runs.groupBy(*by, "key", "__run").agg(folded.alias("val")).select(*by, "key", "__run", merge.finish(F.col("key"), F.col("val")).alias("val"))
+        order = "__run"
     folded = merge.aggregate(F.col("val"), F.col(order) if order else None)
-    return rows.groupBy("key").agg(folded.alias("val")).select("key", merge.finish(F.col("key"), F.col("val")).alias("val"))
+    return rows.groupBy(*by, "key").agg(folded.alias("val")).select(*by, "key", merge.finish(F.col("key"), F.col("val"), again=order == "__run").alias("val"))
+
+
+def empty(*more: str) -> DataFrame:
+    """No entries."""
+    return SparkSession.active().createDataFrame([], KV).select(*[F.lit(None).cast("int").alias(m) for m in more], "key", "val")
 
 
 @dataclass(frozen=True)
@@ -120,9 +146,7 @@ class Sorter:
         return self
 
     def rows(self) -> DataFrame:
-        """(chunk_id, key, val, ord) of all chunks."""
-        if not self.chunks:
-            raise MergeError("nothing was inserted; an empty DataFrame gives an empty result")
+        """(chunk_id, key, val, ord) of all chunks, one at least."""
         tagged = []
         for k, c in enumerate(self.chunks):
             seq = F.col("seq") if "seq" in c.columns else F.lit(None).cast("long")
@@ -134,11 +158,17 @@ class Sorter:
         return "ord" if self.stable and "seq" in self.chunks[0].columns or self.options.merge.ordered else None
 
     def merged(self) -> DataFrame:
-        """(key, val), in no order."""
-        return fold(self.rows(), self.options.merge, self.order)
+        """(key, val), in no order; binary and empty if nothing was inserted."""
+        return fold(self.rows(), self.options.merge, self.order) if self.chunks else empty()
 
     def into_stream_merger_iter(self) -> DataFrame:
-        """(key, val) by key; toLocalIterator() pulls them."""
+        """(key, val) by key; toLocalIterator() pulls them.
+
+        Values of an ordered merge, which nothing can combine before they move, are dealt out by ranges of keys at once, and
+        so are sorted by it without a second shuffle.
+        """
+        if self.chunks and self.options.merge.ordered and not isinstance(self.options.merge, MergeUdf):
+            return fold(self.rows().repartitionByRange("key"), self.options.merge, self.order).orderBy("key")
         return self.merged().orderBy("key")
 
     def write_into_stream_writer(self, writer: Writer) -> Reader:
@@ -151,12 +181,12 @@ class Sorter:
 
     def per_run(self) -> DataFrame:
         """(chunk_id, key, val): all runs in one DataFrame."""
-        merge = self.options.merge
-        folded = merge.aggregate(F.col("val"), F.col(self.order) if self.order else None)
-        return self.rows().groupBy("chunk_id", "key").agg(folded.alias("val")).select("chunk_id", "key", merge.finish(F.col("key"), F.col("val")).alias("val"))
+        return fold(self.rows(), self.options.merge, self.order, "chunk_id") if self.chunks else empty("chunk_id")
 
     def estimated_dumped_memory_usage(self) -> DataFrame:
         """One row, bytes: an upper estimate of what the entries take."""
+        if not self.chunks:
+            return empty().agg(F.count(F.lit(1)).alias("bytes"))
         size = F.octet_length("key") + F.coalesce(F.octet_length(F.col("val").cast("binary")) if dict(self.chunks[0].dtypes)["val"] in ("string", "binary") else F.lit(8), F.lit(0)) + ENTRY_OVERHEAD
         return self.rows().agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
 

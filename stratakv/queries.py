@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratakv.errors import OrderError
 from stratakv.functions import keys, merge
 from stratakv.functions.merge import CONCAT, COUNT, FIRST, LAST, MAX, MIN, SET_UNION, SUM, SUM_U32, Merge
 from stratakv.model import UNBOUNDED, Bound, excluded, included
@@ -15,6 +16,7 @@ from stratakv.operators.merger import Merger
 from stratakv.operators.sorter import UNSTABLE, Sorter
 from stratakv.plans.ranged import with_index
 from stratakv.plans.scratch import scratch
+from stratakv.sources import blockfile
 from stratakv.sources.codecs import Codec
 from stratakv.sources.store import Reader, Writer, block_index
 
@@ -138,6 +140,48 @@ def sorter_estimated_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Sorter.new(merge.CONCAT_BYTES).insert(rows).estimated_dumped_memory_usage()
 
 
+@query("SELECT user_id AS key, hex(encode(string_agg(event_type, '' ORDER BY event_id))) AS val FROM events GROUP BY 1")
+def sorter_concat_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = happenings(spark, sf_dir).withColumn("val", keys.utf8(F.col("val")))
+    return Sorter.new(merge.CONCAT_BYTES).insert(rows).into_stream_merger_iter().select("key", F.hex("val").alias("val"))
+
+
+@query("SELECT user_id AS key, string_agg(event_type, '' ORDER BY event_id % 3, event_id) AS val FROM events GROUP BY 1")
+def sorter_merge_udf_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python merge function over three chunks: it folds runs of a chunk, then the runs of all chunks in order."""
+    sorter = Sorter.new(merge.udf(lambda key, values: b"".join(values), "concat"))
+    for k in range(3):
+        sorter.insert(happenings(spark, sf_dir).where(F.col("seq") % 3 == k).withColumn("val", keys.utf8(F.col("val"))))
+    return sorter.into_stream_merger_iter().select("key", F.decode("val", "UTF-8").alias("val"))
+
+
+@query("SELECT 1 AS chunk_id, user_id AS key, string_agg(event_type, '' ORDER BY event_id) AS val FROM events WHERE event_id % 3 = 1 GROUP BY 2")
+def sorter_reader_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second of three runs, by its own cursor."""
+    sorter = Sorter.new(CONCAT)
+    for k in range(3):
+        sorter.insert(happenings(spark, sf_dir).where(F.col("seq") % 3 == k))
+    return sorter.into_reader_cursors()[1].select(F.lit(1).alias("chunk_id"), "key", "val")
+
+
+NOTHING = "SELECT CAST(0 AS BIGINT) AS merged, CAST(0 AS BIGINT) AS stored FROM region LIMIT 1"
+
+
+@query(NOTHING)
+def sorter_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sorter without chunks gives no entries, and writes an empty dataset."""
+    sorter = Sorter.new(SUM)
+    reader = sorter.write_into_stream_writer(Writer(scratch(spark, "empty")))
+    return sorter.into_stream_merger_iter().agg(F.count(F.lit(1)).alias("merged")).withColumn("stored", F.lit(len(reader)).cast("long"))
+
+
+@query(NOTHING)
+def merger_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merger without sources gives no entries; a writer without entries an empty dataset."""
+    reader = Writer(scratch(spark, "empty")).into_inner()
+    return Merger.builder(SUM).build().into_stream_merger_iter().agg(F.count(F.lit(1)).alias("merged")).withColumn("stored", F.lit(len(reader)).cast("long"))
+
+
 # ---------------------------------------------------------------- merger
 
 
@@ -203,6 +247,43 @@ def merger_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Merger.builder(SUM).extend([r.entries for r in runs]).build().write_into_stream_writer(Writer(scratch(spark, "merged"))).into_cursor()
 
 
+@query("SELECT l_partkey AS key, CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS val FROM lineitem GROUP BY 1")
+def merger_compaction_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored run for each return flag, all of them merged to one."""
+    flags = sorted(r.f for r in table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("f")).distinct().collect())
+    runs = [Sorter.new(SUM).insert(p).write_into_stream_writer(Writer(scratch(spark, "run"))) for p in parts_by(spark, sf_dir, "l_returnflag", flags, SUM)]
+    return Merger.builder(SUM).extend([r.entries for r in runs]).build().write_into_stream_writer(Writer(scratch(spark, "merged"))).into_cursor()
+
+
+@query("SELECT printf('%016X', o_orderkey) AS key, o_orderpriority AS val, o_orderkey BETWEEN 500 AND 2500 AS seen FROM orders")
+def block_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block files with two index levels, four of them, and which entries a range read of them finds."""
+    place = scratch(spark, "blocks")
+    blockfile.write_block_files(order_keys(spark, sf_dir), place, "snappy", block_size=1024, levels=2, partitions=4)
+    some = blockfile.read_block_files(spark, place, (500).to_bytes(8, "big"), (2500).to_bytes(8, "big"))
+    found = blockfile.read_block_files(spark, place).join(some.select("key", F.lit(True).alias("seen")), "key", "left")
+    return found.select(F.hex("key").alias("key"), F.decode("val", "UTF-8").alias("val"), F.coalesce("seen", F.lit(False)).alias("seen"))
+
+
+@query("SELECT count(*) AS entries, 2 AS version, 'zstd' AS compression FROM orders")
+def block_file_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = scratch(spark, "blocks")
+    blockfile.write_block_files(order_keys(spark, sf_dir), place, "zstd", partitions=3)
+    return blockfile.footers(spark, place).groupBy("version", "compression").agg(F.sum("entries").cast("long").alias("entries"))
+
+
+@query("SELECT count(*) > count(DISTINCT l_orderkey) AS repeats, true AS rejected FROM lineitem")
+def writer_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strict writer takes orders once, and rejects them with a line's key repeated."""
+    lines = table(spark, sf_dir, "lineitem").select(keys.be_u64(F.col("l_orderkey")).alias("key"), keys.utf8(F.col("l_returnflag")).alias("val"))
+    try:
+        Writer(scratch(spark, "strict")).insert(lines).into_inner()
+        rejected = False
+    except OrderError:
+        rejected = True
+    return lines.agg((F.count("key") > F.count_distinct("key")).alias("repeats")).withColumn("rejected", F.lit(rejected))
+
+
 @query("SELECT o_orderkey, printf('%016X', o_orderkey) AS key FROM orders")
 def key_be_u64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_keys(spark, sf_dir).select("o_orderkey", F.hex("key").alias("key"))
@@ -294,6 +375,28 @@ def seek_ge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cursor.at_or_above_many(probes(spark, sf_dir), orders(spark, sf_dir))
 
 
+WIDE_PROBES = "SELECT (c_custkey * 7919) % (SELECT max(o_orderkey) + 200 FROM orders) - 100 AS probe FROM customer"
+
+
+def sought(kind: str) -> Query:
+    """Probes spread over the whole range of keys, sought in a stored dataset through its block index."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        reach = table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("k")).first().k
+        asked = table(spark, sf_dir, "customer").select((F.pmod(F.col("c_custkey") * 7919, F.lit(reach + 200)) - 100).alias("n"))
+        asked = asked.select(keys.be_i64(F.col("n")).alias("probe"))
+        rows = table(spark, sf_dir, "orders").select(keys.be_i64(F.col("o_orderkey")).alias("key"), keys.utf8(F.col("o_orderpriority")).alias("val"))
+        r = Writer.builder().compression_type("zstd").build(scratch(spark, "orders")).insert(rows).into_inner()
+        seek = {"ge": r.seek_greater_than_or_equal_to, "le": r.seek_lower_than_or_equal_to, "eq": r.seek_equal_to}[kind]
+        return seek(asked).select(keys.from_be_i64(F.col("probe")).alias("probe"), keys.from_be_i64(F.col("key")).alias("key"), F.decode("val", "UTF-8").alias("val"))
+
+    return run
+
+
+for _kind, _join in (("ge", "ASOF LEFT JOIN orders o ON p.probe <= o.o_orderkey"), ("le", "ASOF LEFT JOIN orders o ON p.probe >= o.o_orderkey"), ("eq", "LEFT JOIN orders o ON o.o_orderkey = p.probe")):
+    query(f"SELECT p.probe, o.o_orderkey AS key, o.o_orderpriority AS val FROM ({WIDE_PROBES}) p {_join}", f"seek_{_kind}_stored")(sought(_kind))
+
+
 # ---------------------------------------------------------------- ranges and prefixes
 
 
@@ -315,6 +418,28 @@ for _a, _start, _low in (("i", included(LO), f"o_orderkey >= {LO}"), ("e", exclu
 query("SELECT o_orderkey AS key, o_orderpriority AS val, CAST(0 AS BIGINT) AS up, CAST(0 AS BIGINT) AS down FROM orders WHERE false", "range_inverted")(ranged(included(HI), included(LO)))
 
 
+def in_order(scan: DataFrame) -> DataFrame:
+    """The rows of a scan over a fixed range, 801 keys at most, with their places in the order in which they come."""
+    rows = [(n, r.key, r.val) for n, r in enumerate(scan.toLocalIterator())]
+    return scan.sparkSession.createDataFrame(rows, "nth long, key long, val string")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS nth, o_orderkey AS key, o_orderpriority AS val FROM orders WHERE o_orderkey BETWEEN {LO} AND {HI}")
+def range_scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_order(scans.range_scan(orders(spark, sf_dir), included(LO), included(HI)))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS nth, o_orderkey AS key, o_orderpriority AS val FROM orders WHERE o_orderkey > {LO} AND o_orderkey < {HI}")
+def rev_range_scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_order(scans.rev_range_scan(orders(spark, sf_dir), excluded(LO), excluded(HI)))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS nth, o_orderkey AS key, o_orderpriority AS val FROM orders WHERE o_orderkey BETWEEN 768 AND 1023")
+def prefix_scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scans.prefix_scan(order_keys(spark, sf_dir).select("key", "val"), bytes(6) + b"\x03")
+    return in_order(found.select(keys.from_be_i64(F.col("key")).bitwiseXOR(F.lit(-(1 << 63))).alias("key"), F.decode("val", "UTF-8").alias("val")))
+
+
 @query("SELECT printf('%016X', o_orderkey) AS key, o_orderpriority AS val FROM orders WHERE o_orderkey BETWEEN 300 AND 399")
 def range_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range of a stored dataset, descending."""

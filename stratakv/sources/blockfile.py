@@ -7,7 +7,8 @@ An index entry's key is the last key of its child, its value the child's offset.
 offset of the root, codec, number of entries, index levels below the root (version 2 only), magic number.
 
 Files are read with Spark's binaryFile source, so from any store that Spark reads, a file in each task; with a range
-of keys only blocks that overlap it are decompressed. A file has to fit in a row, at most 2 GB.
+of keys only blocks that overlap it are decompressed. So read, a file has to fit in a row, at most 2 GB. Where the workers can
+open the files themselves (direct), they read the footer, the index and the blocks that overlap the range, and no more.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from stratakv.errors import InvalidFormatVersion, KvError, OrderError
@@ -39,23 +42,46 @@ BLOCK_SIZE, LEAST_BLOCK_SIZE, INTERVAL = 8192, 1024, 8
 _SNAPPY_START = b"\xff\x06\x00\x00sNaPpY"
 
 
-def _crc32c_table() -> list[int]:
-    out = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ 0x82F63B78 if n & 1 else n >> 1
-        out.append(n)
-    return out
+def _crc32c_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = table >> np.uint32(1) ^ np.where(table & np.uint32(1), np.uint32(0x82F63B78), np.uint32(0))
+    return table
 
 
 _CRC32C = _crc32c_table()
+#: Row d: what each byte value adds to the checksum when d bytes follow it.
+_FAR = [_CRC32C[None]]
 
 
-def masked_crc32c(data: bytes) -> int:
+def _far(n: int) -> np.ndarray:
+    table = _FAR[0]
+    if len(table) < n:
+        rows = np.empty((max(n, 2 * len(table)), 256), dtype=np.uint32)
+        rows[: len(table)] = table
+        for d in range(len(table), len(rows)):
+            rows[d] = _CRC32C[rows[d - 1] & 0xFF] ^ rows[d - 1] >> np.uint32(8)
+        _FAR[0] = table = rows
+    return table
+
+
+def crc32c(data: bytes, piece: int = 4096) -> int:
+    """By linearity: a byte's share depends on its distance from the end of its piece only, and a piece takes what came before it in its first four bytes."""
     c = 0xFFFFFFFF
-    for b in data:
-        c = _CRC32C[(c ^ b) & 0xFF] ^ c >> 8
-    c ^= 0xFFFFFFFF
+    for at in range(0, len(data), piece):
+        some = np.frombuffer(data, dtype=np.uint8, count=min(piece, len(data) - at), offset=at)
+        if len(some) < 4:
+            for b in some.tolist():
+                c = int(_CRC32C[(c ^ b) & 0xFF]) ^ c >> 8
+            continue
+        some = some.copy()
+        some[:4] ^= np.frombuffer(c.to_bytes(4, "little"), dtype=np.uint8)
+        c = int(np.bitwise_xor.reduce(_far(len(some)).ravel()[np.arange(256 * (len(some) - 1), -1, -256) + some]))
+    return c ^ 0xFFFFFFFF
+
+
+def masked_crc32c(data: bytes) -> int:
+    c = crc32c(data)
     return ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
@@ -144,7 +170,31 @@ class Footer:
     levels: int
 
 
-def footer(data: bytes) -> Footer:
+class Ranged:
+    """The bytes of a file, read by slices."""
+
+    def __init__(self, path: str) -> None:
+        if path.startswith("file:/") and not path.startswith("file://"):
+            path = "file://" + path.removeprefix("file:")
+        store, place = pyarrow.fs.FileSystem.from_uri(path)
+        self.file = store.open_input_file(place)
+        self.size = self.file.size()
+        #: Bytes read so far.
+        self.read = 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        start, stop, _ = part.indices(self.size)
+        self.read += max(0, stop - start)
+        return self.file.read_at(max(0, stop - start), start)
+
+
+Data = bytes | Ranged
+
+
+def footer(data: Data) -> Footer:
     if len(data) < FOOTER_V1.size:
         raise InvalidFormatVersion("a file is shorter than a footer")
     magic = int.from_bytes(data[-4:], "little")
@@ -157,7 +207,7 @@ def footer(data: bytes) -> Footer:
     raise InvalidFormatVersion(f"no format version has the magic number {magic:#x}")
 
 
-def block(data: bytes, at: int, codec: Codec) -> Iterator[tuple[bytes, bytes]]:
+def block(data: Data, at: int, codec: Codec) -> Iterator[tuple[bytes, bytes]]:
     """The entries of the block at an offset."""
     size = int.from_bytes(data[at : at + 8], "big")
     payload = decompress(codec, data[at + 8 : at + 8 + size])
@@ -171,7 +221,7 @@ def block(data: bytes, at: int, codec: Codec) -> Iterator[tuple[bytes, bytes]]:
         at += klen + vlen
 
 
-def entries_of(data: bytes, low: bytes | None = None, high: bytes | None = None) -> Iterator[tuple[bytes, bytes]]:
+def entries_of(data: Data, low: bytes | None = None, high: bytes | None = None) -> Iterator[tuple[bytes, bytes]]:
     """Entries with low <= key <= high, in order; other blocks are not decompressed."""
     f = footer(data)
 
@@ -188,13 +238,19 @@ def entries_of(data: bytes, low: bytes | None = None, high: bytes | None = None)
                 yield k, v
 
 
-def read_block_files(spark: SparkSession, path: str, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
-    """(key, val, file): the entries of all files at a path, as they stand in each. Merger merges them by file."""
+def files(spark: SparkSession, path: str, direct: bool) -> DataFrame:
+    """(path, content) of all files at a path; with direct, their lengths instead of their contents."""
+    return spark.read.format("binaryFile").load(path).select("path", "length" if direct else "content")
+
+
+def read_block_files(spark: SparkSession, path: str, low: bytes | None = None, high: bytes | None = None, direct: bool = False) -> DataFrame:
+    """(key, val, file): the entries of all files at a path, as they stand in each. Merger merges them by file. direct: workers open the files."""
     shape = "key binary, val binary, file string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = Ranged(name) if direct else data
                 held: list[tuple[bytes, bytes]] = []
                 size = 0
                 for k, v in entries_of(data, low, high):
@@ -209,19 +265,19 @@ def read_block_files(spark: SparkSession, path: str, low: bytes | None = None, h
     def rows(held: list[tuple[bytes, bytes]], name: str) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.binary()), pa.array([v for _, v in held], pa.binary()), pa.array([name] * len(held))], names=["key", "val", "file"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, shape)
+    return files(spark, path, direct).mapInArrow(run, shape)
 
 
-def footers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, version, compression, entries, index_levels) of all files at a path."""
+def footers(spark: SparkSession, path: str, direct: bool = False) -> DataFrame:
+    """(file, version, compression, entries, index_levels) of all files at a path. direct: workers open the files, and read the footers only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [footer(x) for x in batch.column(1).to_pylist()]
+            found = [footer(Ranged(name) if direct else x) for name, x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             columns = [batch.column(0), pa.array([f.version for f in found], pa.int32()), pa.array([f.codec.label for f in found], pa.string()), pa.array([f.entries for f in found], pa.int64()), pa.array([f.levels for f in found], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["file", "version", "compression", "entries", "index_levels"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, version int, compression string, entries long, index_levels int")
+    return files(spark, path, direct).mapInArrow(run, "file string, version int, compression string, entries long, index_levels int")
 
 
 # ---------------------------------------------------------------- writing
@@ -284,7 +340,8 @@ class BlockFile:
 def write_block_files(entries: DataFrame, uri: str, codec: str | Codec = Codec.NONE, level: int = 0, block_size: int = BLOCK_SIZE, interval: int = INTERVAL, levels: int = 0, partitions: int | None = None) -> DataFrame:
     """Writes entries with unique keys to block files below a URI that all executors share, one for each range of keys; gives (file, entries), after writing.
 
-    A file appears under its name only when it is whole, so a task that is run again leaves no half file.
+    A file is named by its range's number, so no two are named alike, and appears under its name only when it is whole: a task
+    that is run again leaves no half file, and its file takes the place of the same one.
     """
     spark, kind, run_id = entries.sparkSession, Codec.parse(codec), uuid.uuid4().hex[:8]
     rows = entries.select("key", "val")
@@ -292,16 +349,15 @@ def write_block_files(entries: DataFrame, uri: str, codec: str | Codec = Codec.N
     shape = "file string, entries long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, first = BlockFile(kind, level, block_size, interval, levels), None
+        made = BlockFile(kind, level, block_size, interval, levels)
         for batch in batches:
             for k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                first = k if first is None else first
                 made.add(k, v)
-        if first is None:
+        if not made.count:
             return
         store, place = pyarrow.fs.FileSystem.from_uri(uri)
         store.create_dir(place, recursive=True)
-        name = f"{first[:16].hex() or 'empty'}-{run_id}.blocks"
+        name = f"{TaskContext.get().partitionId():06d}-{run_id}.blocks"
         half = f"{place}/.{name}.{uuid.uuid4().hex}"
         with store.open_output_stream(half) as stream:
             stream.write(made.finish())

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratakv.errors import InvalidFormatVersion, OrderError
-from stratakv.model import UNBOUNDED, Bound
+from stratakv.model import KV, UNBOUNDED, Bound
 from stratakv.operators import cursor, scans
 from stratakv.plans.ranged import with_index, with_neighbours
 from stratakv.plans.scratch import scratch
@@ -87,20 +87,22 @@ class Writer:
         self.into_inner()
 
     def into_inner(self) -> Reader:
-        """Writes what was inserted. Keys have to be unique over all of it: a repeated key raises OrderError."""
+        """Writes what was inserted, an empty dataset for nothing. Keys have to be unique over all of it: a repeated key raises OrderError. If all parts have a column seq, keys have to ascend in its order too."""
         if not self.parts:
-            raise OrderError("nothing was inserted; an empty DataFrame makes an empty dataset")
+            return self.write(SparkSession.active().createDataFrame([], KV))
         all_of = self.parts[0]
         for p in self.parts[1:]:
             all_of = all_of.unionByName(p)
         return self.write(all_of, sorted_input=False, strict=True)
 
     def write(self, entries: DataFrame, sorted_input: bool = False, strict: bool = False) -> Reader:
-        """sorted_input: rows are range-partitioned and sorted already. strict: check that keys are unique, before anything is written."""
+        """sorted_input: rows are range-partitioned and sorted already. strict: check that keys are unique, and ascend by the column seq if there is one, before anything is written."""
         spark, o = entries.sparkSession, self.options
         rows = entries.select("key", "val")
         if strict:
             check_unique(rows)
+            if "seq" in entries.columns:
+                check_ascending(entries)
         if not sorted_input:
             rows = (rows.repartitionByRange(o.partitions_, "key") if o.partitions_ else rows.repartitionByRange("key")).sortWithinPartitions("key")
         settings = {"compression": o.codec.parquet} | o.codec.level_options(o.level)
@@ -113,8 +115,8 @@ class Writer:
         index = written.groupBy("file", "block").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count(F.lit(1)).alias("rows"))
         index.sort("last_key").write.parquet(f"{self.path}/_index")
         total = spark.read.parquet(f"{self.path}/_index").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
-        meta = [(FORMAT_VERSION, o.codec.label, total, o.index_levels_, o.block_size_, o.index_key_interval_)]
-        spark.createDataFrame(meta, "format_version int, compression string, entries long, index_levels int, block_size long, index_key_interval long").coalesce(1).write.parquet(f"{self.path}/_meta")
+        meta = [(FORMAT_VERSION, o.codec.label, total, o.index_levels_, o.block_size_, o.index_key_interval_, o.block_rows)]
+        spark.createDataFrame(meta, "format_version int, compression string, entries long, index_levels int, block_size long, index_key_interval long, block_rows int").coalesce(1).write.parquet(f"{self.path}/_meta")
         return Reader.open(spark, self.path)
 
 
@@ -141,6 +143,7 @@ class Meta:
     index_levels: int
     block_size: int | None
     index_key_interval: int | None
+    block_rows: int = BLOCK_ROWS
 
 
 @dataclass(frozen=True)
@@ -232,6 +235,24 @@ class Reader:
     def walk(self) -> DataFrame:
         return cursor.walk(self.entries)
 
+    @property
+    def placed(self) -> DataFrame:
+        """(key, val, file, block): entries with their place in the block index."""
+        read = self.spark.read.parquet(self.path)
+        return read.select("key", "val", F.col("_metadata.file_name").alias("file"), F.floor(F.col("_metadata.row_index") / self.meta.block_rows).alias("block"))
+
+    def seek_greater_than_or_equal_to(self, probes: DataFrame) -> DataFrame:
+        """(probe, key, val) for each row of probes: the entry with the smallest key at or above it, nulls if there is none. Reads the blocks hit."""
+        return cursor.at_or_above_in(probes, self.placed, self.index)
+
+    def seek_lower_than_or_equal_to(self, probes: DataFrame) -> DataFrame:
+        """The same with the largest key at or below it."""
+        return cursor.at_or_below_in(probes, self.placed, self.index)
+
+    def seek_equal_to(self, probes: DataFrame) -> DataFrame:
+        """The same with the very key."""
+        return cursor.equal_to_in(probes, self.placed, self.index)
+
 
 @dataclass
 class Cursor:

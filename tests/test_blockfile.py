@@ -70,6 +70,35 @@ def test_checksum():
     assert bf.masked_crc32c(b"123456789") == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+    rng = random.Random(3)
+    for n in (0, 1, 3, 4, 5, 255, 4095, 4096, 4097, 9000):
+        data = rng.randbytes(n)
+        c = 0xFFFFFFFF
+        for b in data:
+            for k in range(8):
+                c = c >> 1 ^ (0x82F63B78 if (c ^ b >> k) & 1 else 0)
+        assert bf.crc32c(data) == c ^ 0xFFFFFFFF
+
+
+def test_keys_that_start_alike(spark, tmp_path):
+    df = spark.range(4000).select(F.encode(F.format_string("https://www.example.com/page/%08d", "id"), "UTF-8").alias("key"), keys.be_u32(F.col("id")).alias("val"))
+    done = bf.write_block_files(df, f"file://{tmp_path}/a", partitions=4)
+    assert len({r.file for r in done.collect()}) == done.count() == 4
+    back = bf.read_block_files(spark, f"{tmp_path}/a")
+    assert back.count() == 4000 and back.select("key", "val").exceptAll(df).count() == 0
+
+
+def test_direct(spark, tmp_path):
+    """Workers that open files themselves read what a range needs."""
+    df = spark.range(20_000).select(keys.be_u32(F.col("id")).alias("key"), keys.be_u32(F.col("id") * 3).alias("val"))
+    done = bf.write_block_files(df, f"file://{tmp_path}/a", "zlib", level=1, block_size=1024, levels=2, partitions=1)
+    low, high = (100).to_bytes(4, "big"), (199).to_bytes(4, "big")
+    assert sorted(map(str, bf.read_block_files(spark, f"{tmp_path}/a", low, high, direct=True).collect())) == sorted(map(str, bf.read_block_files(spark, f"{tmp_path}/a", low, high).collect()))
+    assert bf.footers(spark, f"{tmp_path}/a", direct=True).collect() == bf.footers(spark, f"{tmp_path}/a").collect()
+    data = bf.Ranged(done.first().file)
+    assert len(list(bf.entries_of(data, low, high))) == 100 and data.read < len(data) / 20
+
+
 def test_spark(spark, tmp_path):
     df = spark.range(5000).select(keys.be_u32(F.col("id")).alias("key"), keys.be_u32(F.col("id") * 3).alias("val"))
     done = bf.write_block_files(df, f"file://{tmp_path}/a", "snappy", block_size=2048, levels=1, partitions=3)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from stratakv.errors import MergeError
 from stratakv.functions import keys, merge
 from stratakv.operators.merger import Merger
+import stratakv.operators.sorter as sorter_module
 from stratakv.operators.sorter import UNSTABLE, Sorter
 
 SHAPE = "key string, val string, seq long"
@@ -89,6 +90,32 @@ def test_udf_and_its_failure(spark):
         Sorter.new(bad).insert(df).into_stream_merger_iter().collect()
 
 
+def test_python_merges_fold_runs_first(spark):
+    """No call of the function sees more values than a run has, and order holds over runs."""
+    n = 3 << sorter_module.RUN_BITS
+    df = spark.range(n).select(F.lit(b"k").alias("key"), F.encode(F.concat(F.col("id").cast("string"), F.lit(",")), "UTF-8").alias("val"), F.col("id").alias("seq"))
+    most = 1 << sorter_module.RUN_BITS
+
+    def join(key, values):
+        assert len(values) <= most
+        return b"".join(values)
+
+    (row,) = Sorter.new(merge.udf(join)).insert(df).into_stream_merger_iter().collect()
+    assert bytes(row.val) == b"".join(b"%d," % i for i in range(n))
+    (row,) = Sorter.builder(merge.udf(lambda k, v: min(v))).sort_algorithm(UNSTABLE).build().insert(df.drop("seq")).into_stream_merger_iter().collect()
+    assert bytes(row.val) == b"0,"
+
+
+def test_ordered_merges_move_once(spark, capsys):
+    df = spark.createDataFrame(numbered([("b", "1"), ("a", "2"), ("a", "3")]), SHAPE)
+    df = df.union(df.where("false"))
+    found = Sorter.new(merge.CONCAT).insert(df).into_stream_merger_iter()
+    assert pairs(found) == [("a", "23"), ("b", "1")]
+    found.explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[-1]
+    assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan
+
+
 def test_contract():
     samples = [[b"a", b"b", b"c"], [b"x"], []]
     merge.check_contract(lambda k, v: b"".join(v), samples)
@@ -120,8 +147,8 @@ def test_options():
 def test_missing_order_and_empty(spark):
     with pytest.raises(MergeError):
         Sorter.new(merge.CONCAT).insert(spark.createDataFrame([("a", "b")], "key string, val string"))
-    with pytest.raises(MergeError):
-        Sorter.new(merge.SUM).into_stream_merger_iter()
+    bare = Sorter.new(merge.SUM)
+    assert [bare.into_stream_merger_iter().count(), bare.per_run().count(), len(bare.into_reader_cursors()), bare.estimated_dumped_memory_usage().first()["bytes"]] == [0, 0, 0, 0]
     empty = spark.createDataFrame([], SHAPE)
     assert pairs(Sorter.new(merge.CONCAT).insert(empty).into_stream_merger_iter()) == []
     assert Sorter.new(merge.CONCAT).insert(empty).estimated_dumped_memory_usage().first()["bytes"] == 0

@@ -57,7 +57,9 @@ def test_strict(spark, tmp_path):
     with pytest.raises(OrderError):
         Writer(str(tmp_path / "twice")).insert(numbers(spark, [1, 2, 2])).finish()
     with pytest.raises(OrderError):
-        Writer(str(tmp_path / "nothing")).finish()
+        Writer(str(tmp_path / "disorder")).insert(numbers(spark, [2, 1]).withColumn("seq", -F.conv(F.hex("key"), 16, 10).cast("long"))).finish()
+    nothing = Writer(str(tmp_path / "nothing")).into_inner()
+    assert nothing.is_empty() and nothing.into_cursor().collect() == []
     rows = spark.createDataFrame([(1, b"a"), (2, b"b"), (3, b"c")], "seq long, key binary")
     check_ascending(rows)
     for bad in ([(1, b"a"), (2, b"a")], [(1, b"b"), (2, b"a")]):
@@ -101,6 +103,15 @@ def test_batch_moves(spark, sparse):
     assert found(cursor.at_or_below_many(probes, sparse.entries)) == order(low)
     assert found(cursor.at_or_above_many(probes, sparse.entries)) == order(high)
     assert found(cursor.equal_to_many(probes, sparse.entries)) == order(same)
+    assert found(sparse.seek_lower_than_or_equal_to(probes)) == order(low)
+    assert found(sparse.seek_greater_than_or_equal_to(probes)) == order(high)
+    assert found(sparse.seek_equal_to(probes)) == order(same)
+    few = probes.where(F.conv(F.hex("probe"), 16, 10).cast("long") % 50 == 0)
+    some = [n % 50 == 0 for n in asked]
+    assert found(sparse.seek_lower_than_or_equal_to(few)) == order(x for x, s in zip(low, some, strict=True) if s)
+    assert found(sparse.seek_greater_than_or_equal_to(few)) == order(x for x, s in zip(high, some, strict=True) if s)
+    assert found(sparse.seek_equal_to(few)) == order(x for x, s in zip(same, some, strict=True) if s)
+    assert sparse.seek_greater_than_or_equal_to(probes.where("false")).count() == 0
     none = sparse.entries.where("false")
     assert {r.key for r in cursor.at_or_above_many(probes, none).collect()} == {None}
 
@@ -150,6 +161,18 @@ def test_moves_read_one_block(sparse):
     assert all(a.last_key < b.first_key for a, b in zip(rows, rows[1:], strict=False))
 
 
+def test_batch_of_seeks_reads_the_blocks_hit(spark, sparse, capsys):
+    probes = spark.createDataFrame([(n,) for n in (11, 1200, 12_001, 23_990, 12_002)], "n long").select(keys.be_u32(F.col("n")).alias("probe"))
+    hit = cursor.hits(probes, sparse.index, True)
+    blocks = {(r.first_key, r.last_key) for r in hit.collect()}
+    assert hit.count() == 5 and len(blocks) == 3
+    some = cursor.blocks_read(sparse.placed, hit)
+    assert some.count() == sum(r["rows"] for r in sparse.index.collect() if (r.first_key, r.last_key) in blocks) <= 2000
+    some.explain()
+    assert "PushedFilters: [Or(" in capsys.readouterr().out
+    assert cursor.blocks_read(sparse.placed, hit.where("false")).count() == 0
+
+
 def test_ranged_windows(spark):
     some = random.Random(3).sample(range(10_000), 700)
     df = spark.createDataFrame([(n,) for n in some], "key long")
