@@ -6,17 +6,19 @@ the whole rest of the data, all of which would be read.
 
 from __future__ import annotations
 
+import bisect
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratakv.plans.ranged import as_of, with_neighbours
 
-#: Blocks hit up to which a batch of seeks names the ranges to read, and ranges it names at most; neighbours are joined to one range.
-NAMED_BLOCKS, NAMED_RANGES = 4096, 64
+#: Distinct probes up to which a batch of seeks names the ranges to read, and ranges that it names at most.
+NAMED_PROBES, NAMED_RANGES = 16_384, 16
 #: Probes of a block, on average, up to which entries are compared with the probes of their block; more are sorted among them.
-SPARSE = 64
+SPARSE = 16
 
 
 def first(entries: DataFrame) -> DataFrame:
@@ -97,39 +99,64 @@ def hits(probes: DataFrame, index: DataFrame, up: bool) -> DataFrame:
     return as_of(probes, end, not up).where("val is not null").select("probe", "val.*")
 
 
-def blocks_read(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """entries within the key ranges of the blocks hit, as predicates that reach the scan; all entries if more than NAMED_BLOCKS are hit."""
-    some = found.select("first_key", "last_key").distinct().limit(NAMED_BLOCKS + 1).collect()
-    if len(some) > NAMED_BLOCKS:
+def named(probes: DataFrame, index: DataFrame, up: bool) -> tuple[DataFrame, list[Row] | None]:
+    """hits(), and its rows if there are NAMED_PROBES or fewer; with as few blocks these are found without a job of their own."""
+    asked = probes.select("probe").where("probe is not null").distinct().limit(NAMED_PROBES + 1).collect()
+    if len(asked) > NAMED_PROBES:
+        return hits(probes, index, up), None
+    blocks = index.select("file", "block", "first_key", "last_key").limit(NAMED_PROBES + 1).collect()
+    if len(blocks) > NAMED_PROBES:
+        found = hits(probes, index, up)
+        rows = found.collect()
+    else:
+        blocks.sort(key=lambda r: r.last_key)
+        ends = [r.last_key if up else r.first_key for r in blocks]
+        spots = [bisect.bisect_left(ends, r.probe) if up else bisect.bisect_right(ends, r.probe) - 1 for r in asked]
+        rows = [Row(probe=r.probe, **blocks[k].asDict()) for r, k in zip(asked, spots, strict=True) if 0 <= k < len(blocks)]
+    kinds = T.StructType([probes.schema["probe"], *(index.schema[c] for c in ("file", "block", "first_key", "last_key"))])
+    return probes.sparkSession.createDataFrame(rows, kinds), rows
+
+
+def blocks_read(entries: DataFrame, rows: list[Row] | None) -> DataFrame:
+    """entries within the key ranges of the blocks that rows of hits() name, as predicates that reach the scan; all entries for None. Blocks that adjoin make one range."""
+    if rows is None:
         return entries
-    ranges = sorted((r.first_key, r.last_key) for r in some)
-    step = -(-len(ranges) // NAMED_RANGES)
+    ranges: list[list[Any]] = []
+    before = None
+    for first_key, last_key, file, block in sorted({(r.first_key, r.last_key, r.file, r.block) for r in rows}):
+        if before == (file, block - 1):
+            ranges[-1][1] = last_key
+        else:
+            ranges.append([first_key, last_key])
+        before = (file, block)
+    step = max(1, -(-len(ranges) // NAMED_RANGES))
     condition = F.lit(False)
-    for at in range(0, len(ranges), max(step, 1)):
-        low, high = ranges[at][0], max(r[1] for r in ranges[at : at + step])
-        condition = condition | F.col("key").between(F.lit(low), F.lit(high))
+    for at in range(0, len(ranges), step):
+        condition = condition | F.col("key").between(F.lit(ranges[at][0]), F.lit(ranges[min(at + step, len(ranges)) - 1][1]))
     return entries.where(condition)
 
 
 def _in(probes: DataFrame, entries: DataFrame, index: DataFrame, up: bool) -> DataFrame:
-    """at_or_above_many() or at_or_below_many() over entries (key, val, file, block) of a dataset with a block index.
+    """at_or_above_many() or at_or_below_many() over entries (key, val, file, block, row) of a dataset with a block index; row numbers a file's entries.
 
     The probes are looked up in the index, and only the blocks hit are read. Each entry meets the probes of its own block, and what
     they need of it is aggregated before anything moves, so values are not shuffled. Where a block has many probes they are sorted among its entries instead.
     """
-    found = hits(probes, index, up)
-    entries = blocks_read(entries, found)
+    found, rows = named(probes, index, up)
+    entries = blocks_read(entries, rows)
     asked = found.groupBy("file", "block").agg(F.array_sort(F.collect_list("probe")).alias("probes"))
-    mean = asked.agg(F.avg(F.size("probes")).alias("n")).first().n or 0
+    mean = asked.agg(F.avg(F.size("probes")).alias("n")).first().n or 0 if rows is None else len(rows) / max(1, len({(r.file, r.block) for r in rows}))
     if mean > SPARSE:
         return _each(probes, as_of(probes, entries.select("key", "val"), not up))
-    met = entries.join(asked, ["file", "block"])
+    few = F.broadcast if rows is not None else lambda df: df  # NAMED_PROBES rows at most
+    met = entries.select("key", "file", "block", "row").join(few(asked), ["file", "block"])
     near = F.filter("probes", (lambda p: p <= F.col("key")) if up else (lambda p: p >= F.col("key")))
-    best = F.min if up else F.max
-    served = met.select("file", "block", F.get(near, F.size(near) - 1 if up else F.lit(0)).alias("at"), F.struct("key", "val").alias("e")).where("at is not null")
-    served = served.groupBy("file", "block", "at").agg(best("e").alias("e"))  # a row for each probe at most
-    reached = found.select("probe", "file", "block").join(served, ["file", "block"]).where(F.col("at") >= F.col("probe") if up else F.col("at") <= F.col("probe"))
-    return _each(probes, reached.groupBy("probe").agg(best("e").alias("e")).select("probe", "e.key", "e.val"))
+    best = F.min if up else F.max  # entries are numbered by key, and numbers are aggregated without a sort
+    served = met.select("file", "block", (F.array_max(near) if up else F.array_min(near)).alias("at"), "row").where("at is not null")
+    served = served.groupBy("file", "block", "at").agg(best("row").alias("row"))  # a row for each probe at most
+    reached = few(found.select("probe", "file", "block")).join(served, ["file", "block"]).where(F.col("at") >= F.col("probe") if up else F.col("at") <= F.col("probe"))
+    reached = reached.groupBy("probe", "file").agg(best("row").alias("row"))  # a row for each probe
+    return _each(probes, few(reached).join(entries, ["file", "row"]).select("probe", "key", "val"))
 
 
 def at_or_above_in(probes: DataFrame, entries: DataFrame, index: DataFrame) -> DataFrame:
@@ -141,4 +168,4 @@ def at_or_below_in(probes: DataFrame, entries: DataFrame, index: DataFrame) -> D
 
 
 def equal_to_in(probes: DataFrame, entries: DataFrame, index: DataFrame) -> DataFrame:
-    return equal_to_many(probes, blocks_read(entries, hits(probes, index, True)))
+    return equal_to_many(probes, blocks_read(entries, named(probes, index, True)[1]))

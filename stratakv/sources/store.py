@@ -237,9 +237,10 @@ class Reader:
 
     @property
     def placed(self) -> DataFrame:
-        """(key, val, file, block): entries with their place in the block index."""
+        """(key, val, file, block, row): entries with their place in the block index, and in the file."""
         read = self.spark.read.parquet(self.path)
-        return read.select("key", "val", F.col("_metadata.file_name").alias("file"), F.floor(F.col("_metadata.row_index") / self.meta.block_rows).alias("block"))
+        row = F.col("_metadata.row_index")
+        return read.select("key", "val", F.col("_metadata.file_name").alias("file"), F.floor(row / self.meta.block_rows).alias("block"), row.alias("row"))
 
     def seek_greater_than_or_equal_to(self, probes: DataFrame) -> DataFrame:
         """(probe, key, val) for each row of probes: the entry with the smallest key at or above it, nulls if there is none. Reads the blocks hit."""

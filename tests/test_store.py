@@ -166,11 +166,13 @@ def test_batch_of_seeks_reads_the_blocks_hit(spark, sparse, capsys):
     hit = cursor.hits(probes, sparse.index, True)
     blocks = {(r.first_key, r.last_key) for r in hit.collect()}
     assert hit.count() == 5 and len(blocks) == 3
-    some = cursor.blocks_read(sparse.placed, hit)
+    rows = cursor.named(probes, sparse.index, True)[1]
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, hit.collect()))
+    some = cursor.blocks_read(sparse.placed, rows)
     assert some.count() == sum(r["rows"] for r in sparse.index.collect() if (r.first_key, r.last_key) in blocks) <= 2000
     some.explain()
     assert "PushedFilters: [Or(" in capsys.readouterr().out
-    assert cursor.blocks_read(sparse.placed, hit.where("false")).count() == 0
+    assert cursor.blocks_read(sparse.placed, []).count() == 0
 
 
 def test_ranged_windows(spark):
