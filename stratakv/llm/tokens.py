@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from stratakv.llm.common import by_batch
 from stratakv.llm.pieces import NORMAL, SPACE, model_bytes, processor, vocabulary, word_pattern
 
-#: Distinct merged words that a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+#: Bytes of merged words that a worker remembers, about; beyond that it starts anew. Words of over LONGEST characters are not remembered.
+REMEMBERED, LONGEST = 48 << 20, 64
+#: What a word is taken to cost.
+WORD_BYTES = 200
+#: Characters of a text that is cut into words at once, and bytes of words that are merged at once.
+LONG, AT_ONCE = 1 << 19, 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -54,16 +58,33 @@ def count_tokens(model: bytes, text: str) -> int:
     """Tokens the library gives the whole text, without added ones; 0 for an empty text."""
     if not text:
         return 0
-    known = memory(model)
-    words = Counter(word_pattern(model).findall(" " + text.replace(SPACE, " ")))
-    rest = [w for w in words if w not in known]
-    if rest:
-        if len(known) > REMEMBERED:
-            known.clear()
-            known.update(single_tokens(model))
-            rest = [w for w in words if w not in known]
-        known.update(zip(rest, merged(model, rest), strict=True))
-    return sum(known[w] * n for w, n in words.items())
+    known, pattern = memory(model), word_pattern(model)
+    if WORD_BYTES * (len(known) - len(single_tokens(model))) > REMEMBERED:
+        known.clear()
+        known.update(single_tokens(model))
+    said = " " + text.replace(SPACE, " ")
+    words = Counter(pattern.findall(said) if len(said) <= LONG else (m.group() for m in pattern.finditer(said)))
+    total, rest, size = 0, [], 0
+    for w, n in words.items():
+        if (count := known.get(w)) is not None:
+            total += count * n
+            continue
+        rest.append(w)
+        size += len(w)
+        if size >= AT_ONCE:
+            total += counted(model, rest, words)
+            rest, size = [], 0
+    return total + counted(model, rest, words)
+
+
+def counted(model: bytes, rest: list[str], words: Counter[str]) -> int:
+    """Tokens of words that are not yet known, as often as they stand; the short ones are remembered."""
+    known, total = memory(model), 0
+    for w, count in zip(rest, merged(model, rest), strict=True):
+        total += count * words[w]
+        if len(w) <= LONGEST:
+            known[w] = count
+    return total
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096) -> DataFrame:

@@ -29,6 +29,29 @@ def test_odd_texts(library):
         assert tokens.count_tokens(model, text) == len(library.encode(text)), repr(text)
 
 
+def test_memory_is_bounded(library):
+    """Long words are not remembered, and short ones up to a bound."""
+    model = pieces.model_bytes()
+    rng, known = random.Random(4), tokens.memory(model)
+    before = len(known)
+    for _ in range(20):
+        text = "".join(rng.choice("abcdefghij") for _ in range(20_000))
+        assert tokens.count_tokens(model, text) == len(library.encode(text))
+    assert len(known) == before
+    text = "one  two three\n" * 60_000
+    assert len(text) > tokens.LONG and tokens.count_tokens(model, text) == len(library.encode(text))
+
+
+def test_memory_starts_anew(library, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50 * tokens.WORD_BYTES)
+    monkeypatch.setattr(tokens, "AT_ONCE", 40)
+    model = pieces.model_bytes()
+    for k in range(60):
+        text = f"word{k}x {k * 7919} qq{k} zz{k * 31} abc{k}def"
+        assert tokens.count_tokens(model, text) == len(library.encode(text))
+        assert len(tokens.memory(model)) - len(tokens.single_tokens(model)) < 70
+
+
 def test_shortcut_is_proved(library):
     model = pieces.model_bytes()
     known = tokens.single_tokens(model)
