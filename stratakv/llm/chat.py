@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "[NEXT]"]
 OPEN, CLOSE, NEXT = "<s>", "</s>", "[NEXT]"
 LOSS_ROLE = "assistant"
+#: Turns or spans that are handled one after the other; conversations are handled by runs of so many, as lists that grow cost the square of their length.
+RUN = 256
 
 
 def escape(text: Column) -> Column:
@@ -60,23 +62,37 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return merged.select("conv_id", F.array_join(written, "").alias("formatted"), loss_spans(F.col("blocks")).alias("loss_spans"))
 
 
-def loss_spans(blocks: Column) -> Column:
-    """Where the texts of assistant blocks stand, by running lengths."""
-    none = F.array().cast("array<struct<start:int,stop:int>>")
+def by_run(values: Column) -> Column:
+    """An array as an array of arrays of RUN items or fewer. It is bound to a variable, for an expression inside a function of items is computed for each of them."""
+
+    def cut(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.slice(v, k, F.lit(RUN)))
+
+    return F.flatten(F.transform(F.array(values), cut))
 
-    def step(acc: Column, b: Column) -> Column:
-        first = acc["at"] + F.lit(len(OPEN) + 1) + F.char_length(b["role"])
 
-        def inner(a: Column, text: Column) -> Column:
-            stop = a["at"] + F.char_length(text)
-            span = F.array(F.struct(a["at"].alias("start"), stop.alias("stop")))
-            return F.struct((stop + len(NEXT)).alias("at"), F.concat(a["spans"], span).alias("spans"))
+def running(values: Column) -> Column:
+    """The sum of the items before each item of an array of int, and that of all at the end."""
+    first = F.array(F.lit(0))
+    return F.aggregate(values, first, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-        counted = F.aggregate(b["texts"], F.struct(first.alias("at"), none.alias("spans")), inner)
-        mine = F.when(b["role"] == LOSS_ROLE, counted["spans"]).otherwise(none)
-        return F.struct((counted["at"] - len(NEXT) + len(CLOSE)).alias("at"), F.concat(acc["spans"], mine).alias("spans"))
 
-    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+def loss_spans(blocks: Column) -> Column:
+    """Where the texts of assistant blocks stand, by running lengths: inside runs of texts first, then over the runs."""
+
+    def lengths(b: Column) -> Column:
+        """What stands before each text of a block (and behind the block before, on its account), and each text."""
+        return F.transform(b["texts"], lambda x, k: F.struct(F.when(k == 0, len(OPEN) + 1 + F.char_length(b["role"])).otherwise(len(NEXT)).alias("head"), F.char_length(x).alias("size"), F.when(k == F.size(b["texts"]) - 1, len(CLOSE)).otherwise(0).alias("tail"), (b["role"] == LOSS_ROLE).alias("mine")))
+
+    def placed(run: Column) -> Column:
+        at = running(F.transform(run, lambda x: x["head"] + x["size"] + x["tail"]))
+        spans = F.zip_with(run, F.slice(at, F.lit(1), F.size(run)), lambda x, a: F.struct((a + x["head"]).alias("start"), (a + x["head"] + x["size"]).alias("stop"), x["mine"].alias("mine")))
+        return F.struct(F.element_at(at, -1).alias("all"), F.filter(spans, lambda s: s["mine"]).alias("spans"))
+
+    runs = F.transform(by_run(F.flatten(F.transform(blocks, lengths))), placed)
+    begun = running(F.transform(runs, lambda r: r["all"]))
+    return F.flatten(F.zip_with(runs, F.slice(begun, F.lit(1), F.size(runs)), lambda r, a: F.transform(r["spans"], lambda s: F.struct((a + s["start"]).alias("start"), (a + s["stop"]).alias("stop")))))
 
 
 def read_back(formatted: Column) -> Column:
@@ -93,8 +109,14 @@ def read_back(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["stop"] - s["start"]))), "")
+    """All text under the loss mask, unescaped, in order. A run of spans is cut out as a whole first, for a substring is found by counting from the front."""
+
+    def of_run(run: Column) -> Column:
+        first, last = F.element_at(run, 1)["start"], F.element_at(run, -1)["stop"]
+        held = F.array(F.substr(formatted, first + 1, last - first))
+        return F.flatten(F.transform(held, lambda text: F.transform(run, lambda s: unescape(F.substr(text, s["start"] - first + 1, s["stop"] - s["start"])))))
+
+    return F.array_join(F.flatten(F.transform(by_run(spans), of_run)), "")
 
 
 def digests(chats: DataFrame) -> DataFrame:

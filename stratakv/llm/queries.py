@@ -125,3 +125,26 @@ matched AS (
 SELECT c.page_id, c.host, m.domain, m.action, m.since
 FROM captures c LEFT JOIN matched m ON c.page_id = m.page_id AND m.nth = 1
 """
+
+
+#: What escaping adds: a character for each backslash and each control string, and for each newline of a role.
+ORACLE_SQL["op9_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed AS (
+  SELECT *, row_number() OVER w AS n, lag(role) OVER w AS before FROM turns
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+sized AS (
+  SELECT *, before IS NULL OR before <> role AS opens,
+         length(text) + len(regexp_extract_all(text, '\\|</?s>|\[/?INST\]|\[NEXT\]')) AS text_size,
+         length(role) + len(regexp_extract_all(role, '\\|</?s>|\[/?INST\]|\[NEXT\]|\n')) AS role_size
+  FROM placed)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(text_size + CASE WHEN opens THEN 8 + role_size ELSE 6 END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

@@ -1,8 +1,12 @@
 import hashlib
 import random
+import time
+
+import duckdb
+from pyspark.sql import functions as F
 
 from stratakv.llm import chat
-from stratakv.llm.queries import QUERIES
+from stratakv.llm.queries import ORACLE_SQL, QUERIES
 
 
 def sha(x):
@@ -48,6 +52,26 @@ def test_control_strings_and_edges(spark):
     assert chat.digests(chat.format_chats(df.where("false"))).count() == 0
 
 
+def test_oracle(spark, sf):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    found = duck.execute(ORACLE_SQL["op9_chat_format"])
+    names = [c[0] for c in found.description]
+    df = QUERIES["op9_chat_format"](spark, sf)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, found.fetchall()))
+
+
+def test_long_conversation(spark):
+    """100,000 turns, and a block of 2,000: in time that does not grow with their square."""
+    n = 100_000
+    role = F.when((F.col("id") < 2000) | (F.col("id") % 2 == 0), "assistant").otherwise("user")
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("turn \\ <s> "), "id").alias("text"))
+    began = time.monotonic()
+    assert got(chat.digests(chat.format_chats(df))) == plain([(1, k, "assistant" if k < 2000 or k % 2 == 0 else "user", f"turn \\ <s> {k}") for k in range(n)])
+    assert time.monotonic() - began < 120
+
+
 def test_adjacent_turns_merge(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c"), (1, 3, "assistant", "d")], "conv_id long, turn long, role string, text string")
     r = chat.format_chats(df).first()
