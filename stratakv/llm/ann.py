@@ -45,6 +45,11 @@ class Index:
         """Squared distances to the centres."""
         return (rotated**2).sum(axis=1)[:, None] + (self.centres**2).sum(axis=1) - 2 * rotated @ self.centres.T
 
+    def own(self, rotated: np.ndarray) -> np.ndarray:
+        """The list of each vector, by slices of bounded bytes."""
+        step = max(1, (1 << 21) // len(self.centres))
+        return np.concatenate([np.empty(0, dtype=np.int64), *(self.near(rotated[at : at + step]).argmin(axis=1) for at in range(0, len(rotated), step))])
+
 
 def fit(sample: np.ndarray, rows: int, k: int = 10, seed: int = 1) -> Index:
     """sample: (n, d) double, n > 0; rows: vectors that will be indexed."""
@@ -55,13 +60,13 @@ def fit(sample: np.ndarray, rows: int, k: int = 10, seed: int = 1) -> Index:
     lists = max(1, min(MAX_LISTS, round(rows**0.5), n // 8))
     centres = x[rng.choice(n, lists, replace=False)]
     for _ in range(8):
-        own = Index(rotation, centres, 1).near(x).argmin(axis=1)
+        own = Index(rotation, centres, 1).own(x)
         count = np.bincount(own, minlength=lists)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
     index = Index(rotation, centres, lists)
-    own = index.near(x).argmin(axis=1)
+    own = index.own(x)
     asked = np.arange(0, n, max(1, n // 300))
     far = (x[asked] ** 2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * x[asked] @ x.T
     far[np.arange(len(asked)), asked] = np.inf
@@ -138,7 +143,7 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                own = index.near(matrix(part.column(1), d) @ index.rotation).argmin(axis=1)
+                own = index.own(matrix(part.column(1), d) @ index.rotation)
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *part.columns], names=["list", "vec_id", "v"])
 
     listed = cut(folded.mapInArrow(lean(assign), "list int, vec_id long, v array<double>"))

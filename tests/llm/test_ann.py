@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from stratakv.llm import ann
 from stratakv.llm.queries import QUERIES
@@ -40,11 +42,30 @@ def check(got, expect):
 
 
 def test_whole_table(spark):
-    for sf in ("/root/testdata/sf0.01", "/root/testdata/check_s"):
-        rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-        got, expect = found(QUERIES["op10_ann_adaptive"](spark, sf)), brute(rows)
-        check(got, expect)
-        assert recall(got, expect) >= 0.95
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    got, expect = found(QUERIES["op10_ann_adaptive"](spark, sf)), brute(rows)
+    check(got, expect)
+    assert recall(got, expect) >= 0.95
+
+
+@pytest.mark.parametrize("n", [500, 10_000, 50_000])
+def test_recall_at_sizes(spark, n):
+    """Vectors about centres of their own, with one very common vector among them."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(max(8, n // 200), 32))[rng.integers(0, max(8, n // 200), n)] + 0.6 * rng.normal(size=(n, 32))
+    x[rng.random(n) < 0.3] = x[0]
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(x))}))
+    every = max(5, n // 200)
+    got = found(ann.neighbours(df, every=every))
+    hits = 0
+    for q in range(0, n, every):
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        best = np.lexsort((np.arange(n), far))[:10]
+        hits += len({i for _, i in got[q]} & set(best.tolist()))
+        assert np.allclose([s for s, _ in got[q]], far[[i for _, i in got[q]]])
+    assert hits / (10 * len(range(0, n, every))) >= 0.9
 
 
 def test_edge_rows(spark):
