@@ -189,11 +189,11 @@ def frame(samples: np.ndarray, number: int) -> bytes:
 
 def encode(payload: bytes, block: int = BLOCK) -> bytes:
     """A FLAC stream whose samples are the payload's bytes less 128; the last frame takes what remains."""
-    samples = np.frombuffer(payload, dtype=np.uint8).astype(np.int64) - 128
-    frames = [frame(samples[at : at + block], number) for number, at in enumerate(range(0, len(samples), block))]
+    samples = (np.frombuffer(payload, dtype=np.uint8) ^ 128).view(np.int8)
+    frames = [frame(samples[at : at + block].astype(np.int64), number) for number, at in enumerate(range(0, len(samples), block))]
     sizes = [len(x) for x in frames]
     info = struct.pack(">HH", block, block) + min(sizes, default=0).to_bytes(3, "big") + max(sizes, default=0).to_bytes(3, "big")
-    info += (RATE << 44 | 0 << 41 | 7 << 36 | len(samples)).to_bytes(8, "big") + hashlib.md5(samples.astype(np.int8).tobytes()).digest()
+    info += (RATE << 44 | 0 << 41 | 7 << 36 | len(samples)).to_bytes(8, "big") + hashlib.md5(samples.tobytes()).digest()
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     points = b"".join(struct.pack(">QQH", k * block, int(offsets[k]), min(block, len(samples) - k * block)) for k in range(len(frames)))
     return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points + b"".join(frames)
@@ -346,7 +346,7 @@ def decode_frames(data: bytes, spans: list[tuple[int, int, int]]) -> list[np.nda
     """Samples of the frames at (first byte, end byte, samples) of data, all read in lockstep."""
     raw = np.frombuffer(data, dtype=np.uint8)
     words = Words(raw)
-    out = np.zeros((len(spans), max((s[2] for s in spans), default=0)), dtype=np.int64)
+    out = np.zeros((len(spans), max((s[2] for s in spans), default=0)), dtype=np.int16)
     ends = np.zeros(len(spans), dtype=np.int64)
     left: list[Open] = []
     for row, (first, end, n) in enumerate(spans):
@@ -362,7 +362,7 @@ def decode_frames(data: bytes, spans: list[tuple[int, int, int]]) -> list[np.nda
     for (_, end, _n), bit in zip(spans, ends, strict=True):
         if -(-bit // 8) != end - 2:
             raise FlacError("a frame's samples end elsewhere than the frame")
-    return [out[row, : s[2]] for row, s in enumerate(spans)]
+    return [out[row, : s[2]].astype(np.int8) for row, s in enumerate(spans)]
 
 
 def walk(words: Words, jobs: list[Open], out: np.ndarray, ends: np.ndarray) -> None:
@@ -401,8 +401,8 @@ def walk(words: Words, jobs: list[Open], out: np.ndarray, ends: np.ndarray) -> N
         ends[j.row] = bit[k]
 
 
-def decode_many(streams: list[bytes], frames_at_once: int = 2048) -> list[bytes]:
-    """The samples of each stream, plus 128, as bytes; lengths, checksums and the stream's MD5 are verified."""
+def decode_many(streams: list[bytes], frames_at_once: int = 2048, samples_at_once: int = 8 << 20) -> list[bytes]:
+    """The samples of each stream, plus 128, as bytes; lengths, checksums and the stream's MD5 are verified. Frames are read in lockstep, of the lengths of the longest samples_at_once together."""
     infos = [parse(x) for x in streams]
     pieces: list[list[np.ndarray]] = [[] for _ in streams]
     batch: list[tuple[int, int, int, int]] = []
@@ -417,20 +417,23 @@ def decode_many(streams: list[bytes], frames_at_once: int = 2048) -> list[bytes]
             pieces[s].append(samples)
         batch.clear()
 
+    longest = 0
     for s, info in enumerate(infos):
         stops = [p[1] for p in info.points[1:]] + [len(streams[s])]
         for (_, first, n), end in zip(info.points, stops, strict=True):
+            longest = max(longest, n) if batch else n
             batch.append((s, first, end, n))
-            if len(batch) >= frames_at_once:
+            if len(batch) >= frames_at_once or len(batch) * longest >= samples_at_once:
                 flush()
     if batch:
         flush()
     out = []
     for info, some in zip(infos, pieces, strict=True):
-        samples = np.concatenate(some) if some else np.empty(0, dtype=np.int64)
-        if hashlib.md5(samples.astype(np.int8).tobytes()).digest() != info.md5:
+        samples = np.concatenate([np.empty(0, dtype=np.int8), *some])
+        some.clear()
+        if hashlib.md5(samples).digest() != info.md5:
             raise FlacError("the stream's MD5 is wrong")
-        out.append((samples + 128).astype(np.uint8).tobytes())
+        out.append((samples.view(np.uint8) ^ 128).tobytes())
     return out
 
 
@@ -439,7 +442,7 @@ def blocks(stream: bytes) -> Iterator[tuple[int, bytes]]:
     info = parse(stream)
     stops = [p[1] for p in info.points[1:]] + [len(stream)]
     for (first, at, n), end in zip(info.points, stops, strict=True):
-        yield first, (decode_frames(stream[at:end], [(0, end - at, n)])[0] + 128).astype(np.uint8).tobytes()
+        yield first, (decode_frames(stream[at:end], [(0, end - at, n)])[0].view(np.uint8) ^ 128).tobytes()
 
 
 # ---------------------------------------------------------------- distributed
@@ -450,6 +453,19 @@ def padded(text: bytes) -> bytes:
     return text + b" " * ((max(1, -(-len(text) // UNIT))) * UNIT - len(text))
 
 
+def by_samples(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose media decode to about `most` samples; a longer row stands alone. A stream's first block says how many it has."""
+    size = [int.from_bytes(x[18:26], "big") & ((1 << 36) - 1) for x in batch.column(column).to_pylist()]
+    at = 0
+    while at < len(size):
+        upto, total = at, 0
+        while upto < len(size) and (upto == at or total + size[upto] <= most):
+            total += size[upto]
+            upto += 1
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media binary): each text as a FLAC stream. Null texts count as empty; rows keep their number."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -469,7 +485,7 @@ def pcm(stored: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.filter(pc.is_valid(batch.column(1))), 6 << 20):
+            for part in (y for x in slices(batch.filter(pc.is_valid(batch.column(1))), 6 << 20) for y in by_samples(x, 1)):
                 media = part.column(1).to_pylist()
                 found = [(row, n, first, payload[first : first + size]) for row, (stream, payload) in enumerate(zip(media, decode_many(media), strict=True)) for n, (first, _, size) in enumerate(parse(stream).points)]
                 rows, numbers, offsets, samples = zip(*found, strict=True) if found else ((), (), (), ())
@@ -480,10 +496,10 @@ def pcm(stored: DataFrame) -> DataFrame:
 
 def feature(payload: bytes) -> str:
     """Peak, mean, energy, sign changes about the mean, and mean step, as integers: the same on every machine."""
-    x = np.frombuffer(payload, dtype=np.uint8).astype(np.int64) - 128
-    mean = int(x.sum()) // len(x)
+    x = np.frombuffer(payload, dtype=np.uint8).astype(np.int16) - np.int16(128)  # squares of such samples fit too
+    mean = int(x.sum(dtype=np.int64)) // len(x)
     above = x > mean
-    return f"peak={int(np.abs(x).max())};mean={mean};energy={int((x * x).sum()) // len(x)};crossings={int((above[1:] != above[:-1]).sum())};step={int(np.abs(np.diff(x)).sum()) // len(x)}"
+    return f"peak={int(np.abs(x).max())};mean={mean};energy={int((x * x).sum(dtype=np.int64)) // len(x)};crossings={int((above[1:] != above[:-1]).sum())};step={int(np.abs(np.diff(x)).sum(dtype=np.int64)) // len(x)}"
 
 
 def features(stored: DataFrame) -> DataFrame:
@@ -493,7 +509,7 @@ def features(stored: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 6 << 20):
+            for part in (y for x in slices(batch, 6 << 20) for y in by_samples(x, 2)):
                 media = part.column(2).to_pylist()
                 payloads = decode_many(media)
                 columns = [

@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratakv.llm import flac
@@ -98,3 +100,27 @@ def test_edge_rows(spark):
     assert b"".join(r.pcm for r in long).rstrip() == rows[-1][1].encode().rstrip()
     assert [r.sample_offset for r in long] == [k * flac.BLOCK for k in range(len(long))]
     assert flac.features(flac.store(df.where("false"))).count() == 0 and flac.pcm(stored.where("false")).count() == 0
+
+
+def test_slices_are_of_bounded_samples():
+    """Texts that take next to no media are cut by what they decode to."""
+    payloads = [flac.padded(bytes([97 + k % 20]) * 96_000) for k in range(400)]
+    media = [flac.encode(x) for x in payloads]
+    assert sum(map(len, media)) < 1 << 20
+    batch = pa.RecordBatch.from_arrays([pa.array(media, pa.binary())], names=["media"])
+    parts = list(flac.by_samples(batch, 0))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == media and len(parts) == 5
+    tracemalloc.start()
+    for at, part in enumerate(parts[:2]):
+        assert flac.decode_many(part.column(0).to_pylist()) == payloads[87 * at : 87 * at + part.num_rows]
+    assert tracemalloc.get_traced_memory()[1] < 160 << 20
+    tracemalloc.stop()
+    assert [p.num_rows for p in flac.by_samples(batch.slice(0, 3), 0, 1)] == [1, 1, 1] and not list(flac.by_samples(batch.slice(0, 0), 0))
+
+
+def test_feature_by_hand():
+    payload = bytes([0, 255, 128, 130, 130])
+    x = [b - 128 for b in payload]
+    mean = sum(x) // 5
+    over = [v > mean for v in x]
+    assert flac.feature(payload) == f"peak=128;mean={mean};energy={sum(v * v for v in x) // 5};crossings={sum(a != b for a, b in zip(over, over[1:]))};step={sum(abs(a - b) for a, b in zip(x, x[1:])) // 5}"
