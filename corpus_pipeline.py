@@ -39,7 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every reported span is replaced by a mark; n_chars is counted anew."""
-    clean = secrets.redact(secrets.scan(docs))
+    clean = secrets.redacted(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratakv.llm.common import cut
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # a longest run, so the same matches as the shorter pattern with the short ones dropped
@@ -24,6 +26,8 @@ ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?"
 
 #: Code points between the end of a part of one credential and the start of the next.
 SCOPE = 256
+#: Code points of the runs that a text is cut into for redaction; tasks over which rows of one text are dealt.
+RUN, SALTS = 4096, 16
 #: Kinds in the order in which spans with one start are listed; the first three are strong.
 KINDS = ["assign", "access", "hex", "ident", "opaque", "endpoint"]
 STRONG = 3
@@ -116,11 +120,39 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(F.col(f"doc.`{id_col}`").alias("doc_id"), *map(count, range(STRONG)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def cleaned(text: Column, spans: Column, mark: str) -> Column:
+    """text with every span replaced by the mark, adjoining or overlapping ones by one. What stands between is taken out of runs of RUN code points, so that time does not grow with text times spans."""
+
+    def between(runs: Column, s: Column) -> Column:
+        first, last = F.floor(s["before"] / RUN).cast("int"), F.floor(s["start"] / RUN).cast("int")
+        about = F.array_join(F.slice(runs, first + 1, last - first + 1), "")
+        return F.substr(about, s["before"] - first * RUN + 1, s["start"] - s["before"])
+
+    runs = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{RUN}}}"), F.lit(0))
+    # the runs are a variable of an outer lambda: an expression inside would be computed for each span
+    pieces = F.transform(F.array(runs), lambda r: F.transform(spans, lambda s: F.when(s["start"] >= s["before"], F.concat(between(r, s), F.lit(mark))).otherwise(F.lit(""))))[0]
+    last = F.array_max(F.transform(spans, lambda s: s["stop"]))
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, text).otherwise(F.concat(F.array_join(pieces, ""), F.substr(text, last + 1)))
+
+
 def redact(found: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
-    """The documents of scan()'s rows, with every reported span replaced by the mark (adjoining or overlapping ones by one). Texts without spans stay as they were, null too."""
-    text = F.col(f"doc.`{text_col}`")
-    pieces = F.transform("spans", lambda s: F.when(s["start"] >= s["before"], F.concat(F.substr(text, s["before"] + 1, s["start"] - s["before"]), F.lit(mark))).otherwise(F.lit("")))
-    last = F.array_max(F.transform("spans", lambda s: s["stop"]))
-    clean = F.when(F.size("spans") == 0, text).otherwise(F.concat(F.array_join(pieces, ""), F.substr(text, last + 1)))
+    """The documents of scan()'s rows, with every reported span replaced by the mark. Texts without spans stay as they were, null too."""
+    clean = cleaned(F.col(f"doc.`{text_col}`"), F.col("spans"), mark)
     columns = [c for c in found.schema["doc"].dataType.names]
     return found.select(*[clean.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in columns])
+
+
+def redacted(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE, text_col: str = "text") -> DataFrame:
+    """redact(scan(docs)), row by row and column by column, without a shuffle of the texts while what was found is small.
+
+    Only the texts' SHA-256 goes with their spans. What was found is written, so that Spark knows its size when it picks the join: it is
+    broadcast below spark.sql.autoBroadcastJoinThreshold, and else both sides are shuffled, texts that many rows share over SALTS tasks.
+    """
+    text = F.col(f"`{text_col}`")
+    of = F.unhex(F.sha2(text.cast("binary"), 256))
+    found = scan(docs.select(of.alias("of"), text.alias("text")), scope, keep=["of"]).where(F.size("spans") > 0)
+    spans = F.transform("spans", lambda s: F.struct(s["start"], s["stop"], s["before"])).alias("spans")
+    found = cut(found.select(F.col("doc.of").alias("of"), spans).groupBy("of").agg(F.first("spans").alias("spans")))
+    each = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), of.alias("of"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    return redact(rows.join(each, ["of", "salt"], "left"), mark, text_col)
