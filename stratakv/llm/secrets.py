@@ -28,6 +28,8 @@ ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?"
 SCOPE = 256
 #: Code points of the runs that a text is cut into for redaction; tasks over which rows of one text are dealt.
 RUN, SALTS = 4096, 16
+#: Bytes of digests and spans that are broadcast, at most.
+MOST_BROADCAST = 8 << 20
 #: Kinds in the order in which spans with one start are listed; the first three are strong.
 KINDS = ["assign", "access", "hex", "ident", "opaque", "endpoint"]
 STRONG = 3
@@ -145,14 +147,17 @@ def redact(found: DataFrame, mark: str = "[SECRET]", text_col: str = "text") ->
 def redacted(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE, text_col: str = "text") -> DataFrame:
     """redact(scan(docs)), row by row and column by column, without a shuffle of the texts while what was found is small.
 
-    Only the texts' SHA-256 goes with their spans. What was found is written, so that Spark knows its size when it picks the join: it is
-    broadcast below spark.sql.autoBroadcastJoinThreshold, and else both sides are shuffled, texts that many rows share over SALTS tasks.
+    Only the texts' SHA-256 goes with their spans. What was found is written and measured: up to MOST_BROADCAST bytes it is broadcast,
+    beyond that both sides are shuffled, and rows of one text are dealt to SALTS tasks.
     """
     text = F.col(f"`{text_col}`")
     of = F.unhex(F.sha2(text.cast("binary"), 256))
     found = scan(docs.select(of.alias("of"), text.alias("text")), scope, keep=["of"]).where(F.size("spans") > 0)
     spans = F.transform("spans", lambda s: F.struct(s["start"], s["stop"], s["before"])).alias("spans")
     found = cut(found.select(F.col("doc.of").alias("of"), spans).groupBy("of").agg(F.first("spans").alias("spans")))
-    each = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), of.alias("of"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
-    return redact(rows.join(each, ["of", "salt"], "left"), mark, text_col)
+    size = found.agg(F.sum(64 + 12 * F.size("spans").cast("long")).alias("n")).first().n or 0
+    if size <= MOST_BROADCAST:
+        return redact(rows.join(F.broadcast(found), "of", "left"), mark, text_col)
+    each = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return redact(rows.join(each.hint("merge"), ["of", "salt"], "left"), mark, text_col)
