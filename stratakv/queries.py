@@ -234,6 +234,14 @@ for _codec, _level in ((Codec.NONE, 0), (Codec.SNAPPY_PRE_05, 0), (Codec.ZLIB, 1
     query(ROUND_TRIP, "writer_reader_" + _codec.label.replace("-", "_").replace(".", "_"))(round_trip(_codec, _level))
 
 
+@query(ROUND_TRIP)
+def writer_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All options of a writer, to a fresh place below the scratch folder; the dataset is opened again by its path."""
+    options = Writer.builder().compression_type("zstd").compression_level(3).block_size(4096).index_key_interval(64).index_levels(2)
+    written = options.memory(spark).insert(order_keys(spark, sf_dir).select("key", "val")).into_inner()
+    return Reader.open(spark, written.get_ref()).into_cursor().select(F.hex("key").alias("key"), F.decode("val", "UTF-8").alias("val"))
+
+
 @query("SELECT l_partkey AS key, CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS val FROM lineitem GROUP BY 1")
 def sorter_into_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer = Writer.builder().compression_type("zstd").build(scratch(spark, "sums"))
@@ -353,6 +361,28 @@ def reader_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+STEPS = """
+SELECT 'ge' AS step, (SELECT printf('%016X', min(o_orderkey)) FROM orders WHERE o_orderkey >= 700) AS key
+UNION ALL SELECT 'next', (SELECT printf('%016X', o_orderkey) FROM orders WHERE o_orderkey >= 700 ORDER BY o_orderkey LIMIT 1 OFFSET 1)
+UNION ALL SELECT 'missed', (SELECT printf('%016X', o_orderkey) FROM orders WHERE o_orderkey >= 700 ORDER BY o_orderkey LIMIT 1 OFFSET 1)
+UNION ALL SELECT 'prev', (SELECT printf('%016X', min(o_orderkey)) FROM orders WHERE o_orderkey >= 700)
+UNION ALL SELECT 'reset', NULL
+"""
+
+
+@query(STEPS)
+def cursor_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a position in a stored dataset stands after each of five moves."""
+    c = stored(spark, sf_dir).cursor()
+    moves = {"ge": lambda: c.move_on_key_greater_than_or_equal_to((700).to_bytes(8, "big")), "next": c.move_on_next, "missed": lambda: c.move_on_key_equal_to(b""), "prev": c.move_on_prev, "reset": c.reset}
+    rows = []
+    for name, move in moves.items():
+        move()
+        at = c.current()
+        rows.append((name, at and at[0].hex().upper()))
+    return spark.createDataFrame(rows, "step string, key string")
+
+
 PROBES = "SELECT (c_custkey * 7919) % 40000 - 100 AS probe FROM customer"
 
 
@@ -437,7 +467,7 @@ def rev_range_scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS nth, o_orderkey AS key, o_orderpriority AS val FROM orders WHERE o_orderkey BETWEEN 768 AND 1023")
 def prefix_scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scans.prefix_scan(order_keys(spark, sf_dir).select("key", "val"), bytes(6) + b"\x03")
-    return in_order(found.select(keys.from_be_i64(F.col("key")).bitwiseXOR(F.lit(-(1 << 63))).alias("key"), F.decode("val", "UTF-8").alias("val")))
+    return in_order(decoded(found))
 
 
 @query("SELECT printf('%016X', o_orderkey) AS key, o_orderpriority AS val FROM orders WHERE o_orderkey BETWEEN 300 AND 399")
@@ -447,6 +477,22 @@ def range_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.hex("key").alias("key"), F.decode("val", "UTF-8").alias("val"))
 
 
+def decoded(found: DataFrame) -> DataFrame:
+    """Entries of order_keys() with their keys as numbers again."""
+    return found.select(keys.from_be_i64(F.col("key")).bitwiseXOR(F.lit(-(1 << 63))).alias("key"), F.decode("val", "UTF-8").alias("val"))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS nth, o_orderkey AS key, o_orderpriority AS val FROM orders WHERE o_orderkey >= 300 AND o_orderkey < 400")
+def range_iter_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of a stored dataset, ascending, with the places of its entries in the scan."""
+    return in_order(decoded(stored(spark, sf_dir).into_range_iter(included((300).to_bytes(8, "big")), excluded((400).to_bytes(8, "big")))))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS nth, o_orderkey AS key, o_orderpriority AS val FROM orders WHERE o_orderkey BETWEEN 512 AND 767")
+def prefix_iter_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_order(decoded(stored(spark, sf_dir).into_prefix_iter(bytes(6) + b"\x02")))
+
+
 @query("SELECT p_name AS key, p_partkey AS val FROM part WHERE starts_with(p_name, 'b')")
 def prefix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text keys by their bytes: the range rewrite is the same."""
