@@ -18,7 +18,7 @@ from stratakv.plans.ranged import with_index
 from stratakv.plans.scratch import scratch
 from stratakv.sources import blockfile
 from stratakv.sources.codecs import Codec
-from stratakv.sources.store import Reader, Writer, block_index
+from stratakv.sources.store import Reader, Writer, block_index, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -529,5 +529,5 @@ def block_index_every_8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS out_of_order FROM (SELECT l_orderkey AS k, lag(l_orderkey) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) AS p FROM lineitem) WHERE p >= k")
 def unique_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that a strict writer rejects: rows that repeat a key."""
-    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).count()
-    return counts.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("out_of_order"))
+    found = repeats(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"))).where("key is not null")
+    return found.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("out_of_order"))

@@ -120,9 +120,14 @@ class Writer:
         return Reader.open(spark, self.path)
 
 
+def repeats(rows: DataFrame) -> DataFrame:
+    """(key, count) of keys that a strict writer rejects: null ones, and those that stand there more than once."""
+    return rows.groupBy("key").count().where("key is null or count > 1")
+
+
 def check_unique(rows: DataFrame) -> None:
     """Raises OrderError for a null or repeated key."""
-    bad = rows.groupBy("key").count().where("key is null or count > 1").select("key").limit(1).collect()
+    bad = repeats(rows).select("key").limit(1).collect()
     if bad:
         raise OrderError(f"key {bad[0].key!r} is null or stands there more than once")
 
