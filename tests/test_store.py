@@ -187,6 +187,33 @@ def test_ranged_windows(spark):
     assert ranged.with_neighbours(df.where("false")).count() == 0
 
 
+def test_ranged_windows_of_two_levels(spark, monkeypatch):
+    """More ranges than one level holds: keys are cut a second time, by a sample of their own."""
+    monkeypatch.setattr(ranged, "WIDE", 8)
+    monkeypatch.setattr(ranged, "SAMPLE", 200)
+    some = random.Random(4).sample(range(100_000), 3000)
+    for encoded in (False, True):
+        df = spark.createDataFrame([(n,) for n in some], "key long")
+        if encoded:  # beyond a shared prefix
+            df = df.select(F.concat(F.lit(b"p" * 40), keys.be_u64(F.col("key"))).alias("key"))
+        order = sorted(r.key for r in df.collect())
+        by = ranged.ranges(df, "key", 50)
+        assert by.count == 8 * 7 and by.inner.count() == 8
+        sizes = {r["__bucket"]: r["count"] for r in by.put(df, "key").groupBy("__bucket").count().collect()}
+        assert len(sizes) > 50 and max(sizes.values()) < 250 and sum(sizes.values()) == 3000
+        walked = {r.key: (r.prev_key, r.next_key) for r in ranged.with_neighbours(df, "key", 50).collect()}
+        assert walked == {n: (order[i - 1] if i else None, order[i + 1] if i + 1 < len(order) else None) for i, n in enumerate(order)}
+        for down in (False, True):
+            places = {r.key: r.place for r in ranged.with_index(df, "key", "place", 50, down).collect()}
+            assert places == {n: i for i, n in enumerate(order[::-1] if down else order)}
+        table = df.where(F.pmod(F.xxhash64("key"), F.lit(7)) == 0).withColumn("val", F.lit(1))
+        has = sorted(r.key for r in table.collect())
+        for below in (False, True):
+            found = {r.probe: r.key for r in ranged.as_of(df.withColumnRenamed("key", "probe"), table, below, 50).collect()}
+            spots = {n: bisect.bisect_right(has, n) - 1 if below else bisect.bisect_left(has, n) for n in order}
+            assert found == {n: has[k] if 0 <= k < len(has) else None for n, k in spots.items()}
+
+
 def test_no_window_over_all_rows(spark, capsys):
     df = spark.range(1000).select(F.col("id").alias("key"))
     ranged.with_index(df, "key", "i", 8).explain()
