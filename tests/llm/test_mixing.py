@@ -118,3 +118,22 @@ def test_texts(spark):
         assert r.n_chars == len(r.text)
         if size(r.text) == size(text[r.doc_id]):
             assert r.text == text[r.doc_id] or taken[r.doc_id] == size(text[r.doc_id])
+
+
+def test_taken_word_by_word(spark, monkeypatch):
+    """Each slot's words counted one by one, for the documents that own them."""
+    monkeypatch.setattr(mixing, "SLOTS", 16)
+    docs = [*odd(random.Random(6), 200), (None, "x y", None), (3, "same row here", "b"), (3, "same row here", "b"), (700, "long " * 3000, "b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    mix = mixing.prepare(df)
+    keys = [r.key for r in sorted(mix.sources.collect(), key=lambda r: r.source_ix)]
+    rows = sorted(mix.rows.collect(), key=lambda r: (r.bucket, r.h, r.doc_id is not None, r.doc_id or 0))
+    owners = {k: [n for n, r in enumerate(rows) if r.key == k for _ in range(r["size"])] for k in keys}
+    taken = Counter()
+    for slot in mixing.slots(mix).collect():
+        at = slot.block * mixing.BLOCK
+        some = owners[keys[slot.source_ix]][at : at + slot["take"]]
+        assert len(some) == slot["take"]
+        taken.update(some)
+    expect = Counter((r.doc_id, r["size"], taken[n]) for n, r in enumerate(rows))
+    assert Counter((r.doc_id, r["size"], r.taken) for r in mixing.mix_documents(df).collect()) == expect

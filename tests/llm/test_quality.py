@@ -47,3 +47,44 @@ def test_edge_rows(spark):
     assert {r.quality_score for r in none} == {0.5}
     assert quality.classify(docs.where("false"), labels).count() == 0
     assert len(quality.statistics(b"")) == len(quality.NAMES)
+
+
+def plain_fit(x, y, trees, depth, rate, bins, l2, least):
+    """Margins of boosting by trying every cut of every column at every node."""
+    mean = (y.sum() + 0.5) / (len(y) + 1)
+    margin = np.full(len(y), np.log(mean / (1 - mean)))
+    cuts = [sorted(set(np.quantile(c, np.linspace(0, 1, bins)[1:-1]))) for c in x.T]
+
+    def grow(rows, left, g, h, out):
+        best, pick = 1e-6, None
+        for f in range(x.shape[1]) if left else ():
+            for cut in cuts[f]:
+                low = [r for r in rows if x[r, f] <= cut]
+                high = [r for r in rows if x[r, f] > cut]
+                if h[low].sum() < least or h[high].sum() < least:
+                    continue
+                gain = sum(s * g[part].sum() ** 2 / (h[part].sum() + l2) for part, s in ((low, 1), (high, 1), (rows, -1)))
+                if gain > best + 1e-12:
+                    best, pick = gain, (low, high)
+        if pick:
+            grow(pick[0], left - 1, g, h, out)
+            grow(pick[1], left - 1, g, h, out)
+        else:
+            out[rows] = -rate * g[rows].sum() / (h[rows].sum() + l2)
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        step = np.zeros(len(y))
+        grow(list(range(len(y))), depth, p - y, p * (1 - p), step)
+        margin = margin + step
+    return margin
+
+
+def test_fit_is_the_plain_search():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 3))
+    x[:, 2] = np.round(x[:, 2])  # repeated values
+    y = ((x[:, 0] + 0.3 * x[:, 1] + 0.5 * rng.normal(size=120)) > 0).astype(float)
+    got = quality.fit(x, y, trees=4, depth=2, rate=0.3, bins=9, l2=1.0, least=3.0).score(x)
+    expect = 1 / (1 + np.exp(-plain_fit(x, y, 4, 2, 0.3, 9, 1.0, 3.0)))
+    assert np.allclose(got, expect, atol=1e-9)
