@@ -5,6 +5,9 @@ distinct word and kept by the worker. Sampling walks all words of a batch backwa
 arc for every word still open, by the cumulative weights of the arcs that end where it stands. Draws are a hash of
 the row's key, the word's place and the step, so that a row is segmented alike on every run and machine.
 
+Lockstep pays only side by side, so a word of over LONG_WORD characters is cut into the runs between which no piece of
+it crosses, each then a word with a place of its own; a run that is still longer is filtered and sampled alone.
+
 A piece of rank r weighs (r + 2) ** -sharpness, the rank being the model's order of merges. Characters without a
 piece are spelt in byte pieces; so is the mark that stands for a space when the text itself has it.
 """
@@ -12,8 +15,9 @@ piece are spelt in byte pieces; so is the mark that stands for a space when the
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +40,14 @@ GROW = 1 << 19
 AT_ONCE, WORDS_AT_ONCE, TEXTS_AT_ONCE = 32_000, 1 << 16, 1 << 19
 #: Characters of a text that is cut into words at once; longer ones are cut word by word.
 LONG = 1 << 19
+#: Characters of a word that goes in lockstep with others. A longer one is cut where no piece crosses; what is still longer goes alone, for lockstep pays only side by side.
+LONG_WORD = 256
 #: Factors of the two hashes by which runs of characters are looked up; both have to agree.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
+#: What is added to a word's draw at each step, and the range of a draw.
+STRIDE, WORD64 = 0xD1B54A32D192ED03, (1 << 64) - 1
+
 
 def code_hashes(text: str) -> np.ndarray:
     return mixed(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
@@ -49,6 +58,18 @@ def grown(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.empty(n - len(x) + GROW, dtype=x.dtype)])
 
 
+def run_hashes(some: list[str], n: int) -> list[np.ndarray]:
+    """Both hashes of runs of n characters."""
+    codes = code_hashes("".join(some)).reshape(-1, n)
+    powers = [np.array([pow(f, n - 1 - k, 1 << 64) for k in range(n)], dtype=np.uint64) for f in FACTORS]
+    return [(codes * w).sum(axis=1, dtype=np.uint64) for w in powers]
+
+
+def spans(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 and so on, as many numbers for each."""
+    return np.arange(int(many.sum())) + np.repeat(begin - np.cumsum(many) + many, many)
+
+
 class Lattice:
     """Arcs of all words met so far. A node's arcs stand together from `first` on: their cumulative probability, length (0 if the word starts there) and piece."""
 
@@ -63,27 +84,32 @@ class Lattice:
         self.rare = float((2.0 + self.size) ** -sharpness)
         self.longest = max(map(len, self.pieces))
         self.pattern = word_pattern(model)
-        self.tables = [self.table_of([p for p in self.pieces if len(p) == n]) for n in range(1, self.longest + 1)]
+        self.tables = [self.table_of(n) for n in range(1, self.longest + 1)]
         self.clear()
 
-    def table_of(self, some: list[str]) -> tuple[np.ndarray, ...]:
-        """(first hash ascending, second hash, id, weight, filter) of pieces of one length."""
-        n = len(some[0]) if some else 1
-        codes = code_hashes("".join(some)).reshape(-1, n)
-        powers = [np.array([pow(f, n - 1 - k, 1 << 64) for k in range(n)], dtype=np.uint64) for f in FACTORS]
-        first, second = ((codes * w).sum(axis=1, dtype=np.uint64) for w in powers)
+    def table_of(self, n: int) -> tuple[np.ndarray, ...]:
+        """(first hash ascending, where its top bits begin, second hash, id, weight, filter) of pieces of n characters."""
+        some = [p for p in self.pieces if len(p) == n]
+        first, second = run_hashes(some, n)
         order = np.argsort(first)
         found = [self.pieces[p] for p in some]
-        maybe = np.zeros(1 << 17, dtype=bool)  # by the first hash's top bits: most runs of characters are no piece
-        maybe[first >> np.uint64(47)] = True
-        return first[order], second[order], np.array([i for i, _ in found], dtype=np.int32)[order], np.array([w for _, w in found])[order], maybe
+        begin = np.searchsorted(first[order], np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
+        maybe = np.zeros(1 << 17, dtype=np.uint8)  # by the first hash's top bits: 1 for a piece, 2 for the end of a longer one; most runs of characters are neither
+        maybe[first >> np.uint64(47)] = 1
+        maybe[run_hashes(sorted({p[-n:] for p in self.pieces if len(p) > n}), n)[0] >> np.uint64(47)] |= 2
+        return first[order], begin, second[order], np.array([i for i, _ in found], dtype=np.int32)[order], np.array([w for _, w in found])[order], maybe
 
     def clear(self) -> None:
+        self.forget()
+        self.reach, self.length, self.piece, self.first = (np.empty(1024, dtype=t) for t in (np.float32, np.uint8, np.int32, np.int32))
+
+    def forget(self) -> None:
+        """Starts anew in the same arrays."""
         self.ends: dict[str, int] = {}
         self.spelt: dict[str, int] = {}
         self.spellings: list[list[int]] = []
+        self.alone: dict[int, int] = {}  # last node of words that go alone: characters
         self.nodes = self.arcs = self.held = 0
-        self.reach, self.length, self.piece, self.first = (np.empty(1024, dtype=t) for t in (np.float32, np.uint8, np.int32, np.int32))
 
     def spell(self, char: str) -> int:
         """The id of a character without a piece: its byte piece, or a number from `size` on for several."""
@@ -107,11 +133,15 @@ class Lattice:
         sums = np.zeros(len(text) + many)
         sums[start + np.arange(many)] = 1.0
         before = slot[pos] - length
-        at = rank[pos].astype(np.uint16 if size[0] < 1 << 16 else np.int64)
-        turn = np.argsort(at, kind="stable")
-        steps = np.searchsorted(at[turn], np.arange(1, size[0] + 2))
         share = np.empty(len(pos))
-        for j in range(1, int(size[0]) + 1):
+        some = int(np.searchsorted(-size, -LONG_WORD))  # the first words, that go alone
+        apart = int(np.searchsorted(pos, size[:some].sum()))
+        share[:apart] = self.shares(rank[pos[:apart]].tolist(), length[:apart].tolist(), weight[:apart].tolist())
+        at = rank[pos[apart:]].astype(np.uint16)
+        turn = apart + np.argsort(at, kind="stable")
+        most = int(size[some]) if some < many else 0
+        steps = np.searchsorted(at[turn - apart], np.arange(1, most + 2))
+        for j in range(1, most + 1):
             arc = turn[steps[j - 1] : steps[j]]
             part = sums[before[arc]] * weight[arc]
             here = pos[arc]
@@ -120,7 +150,7 @@ class Lattice:
             sums[slot[here[first]]] = total
             share[arc] = part / np.repeat(total, np.diff(np.append(first, len(arc))))
             if j % 32 == 0:  # only ratios matter: long words must not run out of range
-                tops = slot[start[: np.searchsorted(-size, -j)] + j - 1]
+                tops = slot[start[some : np.searchsorted(-size, -j)] + j - 1]
                 near = tops[:, None] - np.arange(min(self.longest, j + 1))
                 sums[near] /= sums[tops][:, None]
         last = np.append(pos[1:] != pos[:-1], True)
@@ -135,37 +165,88 @@ class Lattice:
         room = slice(self.arcs, self.arcs + n)
         self.reach[room], self.piece[room] = reach, ids
         self.length[room] = np.where(rank[pos] == length, 0, length)
-        self.ends.update(zip(words, (self.nodes + start + size - 1).tolist(), strict=True))
+        ends = (self.nodes + start + size - 1).tolist()
+        self.ends.update(zip(words, ends, strict=True))
+        self.alone.update(zip(ends[:some], size[:some].tolist(), strict=True))
         self.arcs += n
         self.nodes += len(text)
         self.held += ARC_BYTES * n + NODE_BYTES * len(text) + WORD_BYTES * many
 
+    def shares(self, ranks: list[int], lengths: list[int], weights: list[float]) -> list[float]:
+        """What add() has for the arcs of words that go alone: each arc's probability among those of its last character."""
+        out: list[float] = []
+        sums, k = [1.0], 0
+        while k < len(ranks):
+            j, first, part = ranks[k], k, []
+            if j == 1:
+                sums = [1.0]
+            while k < len(ranks) and ranks[k] == j:
+                part.append(sums[-lengths[k]] * weights[k])
+                k += 1
+            total = sum(part)
+            out += [x / total for x in part]
+            sums = [*sums[-self.longest :], total]
+            if j % 32 == 0:
+                sums = [x / total for x in sums]
+        return out
+
+    def parts(self, word: str) -> Iterator[str]:
+        """The runs of a long word between which no piece crosses: its lattice is theirs, one after another."""
+        at, wide = 0, AT_ONCE
+        while at < len(word):
+            some = word[at : at + wide]
+            pos, length, _, _ = self.arcs_of(some, np.arange(1, len(some) + 1))
+            crossed = np.cumsum(np.bincount(pos - length + 2, minlength=len(some) + 2) - np.bincount(pos + 1, minlength=len(some) + 2))
+            cuts = np.flatnonzero(crossed[1 : len(some) + 1] == 0) + 1
+            if at + wide < len(word):
+                cuts = cuts[cuts <= len(some) - self.longest]  # a piece that ends further on may cross the others
+            if not len(cuts):
+                wide *= 2
+                continue
+            ends = cuts.tolist()
+            yield from (some[a:b] for a, b in zip([0, *ends], ends, strict=False))
+            at, wide = at + ends[-1], AT_ONCE
+
+    def words_of(self, said: str) -> Iterator[str]:
+        found = self.pattern.findall(said) if len(said) <= LONG else (m.group() for m in self.pattern.finditer(said))
+        if isinstance(found, list) and max(map(len, found), default=0) <= LONG_WORD:
+            return iter(found)
+        return (x for w in found for x in ([w] if len(w) <= LONG_WORD else self.parts(w)))
+
     def arcs_of(self, text: str, rank: np.ndarray) -> tuple[np.ndarray, ...]:
         """(last character, length, id, weight) of all pieces in a row of words, by last character and the longest, the likeliest, first. rank: place of each character in its word, from 1."""
         codes = code_hashes(text)
-        one, two = np.zeros(len(text), dtype=np.uint64), np.zeros(len(text), dtype=np.uint64)
-        at = np.arange(len(text))
+        at, one, two = np.arange(len(text)), codes.copy(), codes.copy()
         lone = np.ones(len(text), dtype=bool)
         found = []
-        for n, (first, second, piece, weight, maybe) in enumerate(self.tables, 1):
-            at = at[rank[at] >= n]
-            if not len(at):
-                break
-            own = codes[at - n + 1]
-            one[at] += own * np.uint64(pow(FACTORS[0], n - 1, 1 << 64))
-            two[at] += own * np.uint64(pow(FACTORS[1], n - 1, 1 << 64))
-            some = at[maybe[one[at] >> np.uint64(47)]]
+        for n, (first, begin, second, piece, weight, maybe) in enumerate(self.tables, 1):
+            kind = maybe[one >> np.uint64(47)]
+            some = np.flatnonzero(kind & 1)
             if len(some):
-                k = np.minimum(np.searchsorted(first, one[some]), len(first) - 1)
-                hit = np.flatnonzero((first[k] == one[some]) & (second[k] == two[some]))
-                found.append((some[hit], np.full(len(hit), n), piece[k[hit]], weight[k[hit]]))
+                own = one[some]
+                k = np.minimum(begin[own >> np.uint64(48)], len(first) - 1)
+                left = np.flatnonzero(first[k] < own)
+                while len(left):  # few hashes share their top bits
+                    k[left] += 1
+                    left = left[k[left] < len(first) - 1]
+                    left = left[first[k[left]] < own[left]]
+                hit = np.flatnonzero((first[k] == own) & (second[k] == two[some]))
+                k, some = k[hit], at[some[hit]]
+                found.append((some, np.full(len(hit), n), piece[k], weight[k]))
                 if n == 1:
-                    lone[some[hit]] = False
+                    lone[some] = False
+            more = np.flatnonzero((kind & 2 > 0) & (rank[at] > n))  # a run that ends no longer piece is not followed further
+            if not len(more):
+                break
+            at, one, two = at[more], one[more], two[more]
+            own = codes[at - n]
+            one += own * np.uint64(pow(FACTORS[0], n, 1 << 64))
+            two += own * np.uint64(pow(FACTORS[1], n, 1 << 64))
         lone = np.flatnonzero(lone)
         spelt = np.fromiter((self.spell(text[k]) for k in lone), dtype=np.int32, count=len(lone))
         found.insert(0, (lone, np.ones(len(lone), dtype=np.int64), spelt, np.full(len(lone), self.rare)))
         columns = [np.concatenate(c) for c in zip(*found[::-1], strict=True)]
-        order = np.argsort(columns[0], kind="stable")
+        order = np.argsort(columns[0].astype(np.uint16 if len(text) < 1 << 16 else np.int64), kind="stable")
         return tuple(c[order] for c in columns)
 
     def learn(self, words: set[str]) -> None:
@@ -193,7 +274,7 @@ class Lattice:
 
         for k, text in enumerate(texts):
             said = " " + text if text else ""
-            found = iter(self.pattern.findall(said)) if len(said) <= LONG else (m.group() for m in self.pattern.finditer(said))
+            found = self.words_of(said)
             first = 0
             while some := list(islice(found, WORDS_AT_ONCE - len(words))):
                 words += some
@@ -207,17 +288,27 @@ class Lattice:
     def sample_words(self, words: list[str], runs: list[tuple[int, int, int]], seed: int) -> list[np.ndarray]:
         """Piece ids of each run of words: (key, place of its first word, words)."""
         if self.held > REMEMBERED:
-            self.clear()
-        self.learn(set(words).difference(self.ends))
+            self.forget()
         many = np.array([n for _, _, n in runs], dtype=np.int64)
-        node = np.fromiter(map(self.ends.__getitem__, words), dtype=np.int64, count=len(words))
+        node = np.fromiter(map(self.ends.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        unknown = np.flatnonzero(node < 0)
+        new = [words[k] for k in unknown]
+        self.learn(set(new))
+        node[unknown] = np.fromiter(map(self.ends.__getitem__, new), dtype=np.int64, count=len(new))
         place = np.arange(len(node)) - np.repeat(np.cumsum(many) - many - np.array([first for _, first, _ in runs], dtype=np.int64), many)
-        key = np.repeat(np.array([hash_of(seed, k) for k, _, _ in runs], dtype=np.uint64), many)
+        keys = np.array([k & WORD64 for k, _, _ in runs], dtype=np.uint64)
+        key = np.repeat(mixed(keys + np.uint64((hash_of(seed) + 0x9E3779B97F4A7C15) & WORD64)), many)  # hash_of(seed, k)
         draw = mixed(key + (place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        of, ids, depth = np.arange(len(node)), [], np.zeros(len(node), dtype=np.int64)
+        ids, depth = [], np.zeros(len(node), dtype=np.int64)
+        alone = np.isin(node, list(self.alone)) if self.alone else np.zeros(len(node), dtype=bool)
+        walked = {int(w): self.walk(int(node[w]), int(draw[w])) for w in np.flatnonzero(alone)}
+        for w, back in walked.items():
+            depth[w] = len(back)
+        of = np.flatnonzero(~alone)
+        node, draw = node[of], draw[of]
         steps = []
         while len(of):
-            draw = mixed(draw + np.uint64(0xD1B54A32D192ED03))
+            draw = mixed(draw + np.uint64(STRIDE))
             arc = self.drawn(node, (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53)
             steps.append(of.astype(np.int32))
             ids.append(self.piece[arc])
@@ -229,8 +320,32 @@ class Lattice:
         out = np.empty(int(depth.sum()), dtype=np.int32)
         for k, (w, p) in enumerate(zip(steps, ids, strict=True)):
             out[start[w] + depth[w] - 1 - k] = p
+        for w, back in walked.items():
+            out[start[w] : start[w] + depth[w]] = back[::-1]
         cuts = np.concatenate(([0], np.cumsum(depth)))[np.concatenate(([0], np.cumsum(many)))]
-        return [self.expanded(out[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        out, cuts = self.expanded(out, cuts)
+        return [out[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def walk(self, node: int, draw: int) -> list[int]:
+        """Pieces of a word that goes alone, backwards, by the draws that lockstep would make."""
+        low = node + 1 - self.alone[node]
+        begin = int(self.first[low])
+        end = int(self.first[node + 1]) if node + 1 < self.nodes else self.arcs
+        first = (self.first[low : node + 1] - begin).tolist()
+        reach, length, piece = (x[begin:end].tolist() for x in (self.reach, self.length, self.piece))
+        at, out = node - low, []
+        while True:
+            draw = (draw + STRIDE) & WORD64
+            draw = ((draw ^ draw >> 30) * 0xBF58476D1CE4E5B9) & WORD64
+            draw = ((draw ^ draw >> 27) * 0x94D049BB133111EB) & WORD64
+            draw ^= draw >> 31
+            u, arc = (draw >> 11) * 2.0**-53, first[at]
+            while reach[arc] <= u:
+                arc += 1
+            out.append(piece[arc])
+            if not length[arc]:
+                return out
+            at -= length[arc]
 
     def drawn(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The arc of each node at which the cumulative probability passes u."""
@@ -241,16 +356,18 @@ class Lattice:
             left = left[self.reach[arc[left]] <= u[left]]
         return arc
 
-    def expanded(self, ids: np.ndarray) -> np.ndarray:
-        """Numbers of spellings replaced by their byte pieces."""
+    def expanded(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Numbers of spellings replaced by their byte pieces, and where the same texts are cut then."""
         far = np.flatnonzero(ids >= self.size)
         if not len(far):
-            return ids.astype(np.int32)
-        parts, at = [], 0
-        for k in far:
-            parts += [ids[at:k], np.array(self.spellings[ids[k] - self.size])]
-            at = k + 1
-        return np.concatenate([*parts, ids[at:]]).astype(np.int32)
+            return ids, cuts.tolist()
+        spelt = [self.spellings[k - self.size] for k in ids[far].tolist()]
+        many = np.ones(len(ids), dtype=np.int64)
+        many[far] = list(map(len, spelt))
+        ends = np.concatenate(([0], np.cumsum(many)))
+        out = np.repeat(ids, many)
+        out[spans(ends[far], many[far])] = list(chain.from_iterable(spelt))
+        return out, ends[cuts].tolist()
 
 
 @lru_cache(maxsize=2)
@@ -266,19 +383,25 @@ def spelt_pieces(model: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(spelt), dtype=np.uint8), np.cumsum(size) - size, size
 
 
-def decoded_bytes(model: bytes, ids: np.ndarray) -> bytes:
-    """The UTF-8 text that was encoded; the space put before it is left out."""
+def decoded_bytes(model: bytes, ids: np.ndarray, ends: np.ndarray | None = None) -> list[bytes]:
+    """The UTF-8 texts that were encoded, whose pieces end at `ends` (one text by default); the space put before each is left out."""
     spelt, start, size = spelt_pieces(model)
-    parts = []
-    for at in range(0, len(ids), 1 << 15):
-        some = ids[at : at + (1 << 15)]
+    parts, at, place = [], 0, [0]
+    ends = np.array([len(ids)]) if ends is None else ends
+    for low in range(0, len(ids), 1 << 15):
+        some = ids[low : low + (1 << 15)]
         many = size[some]
-        parts.append(spelt[np.arange(int(many.sum())) + np.repeat(start[some] - np.cumsum(many) + many, many)].tobytes())
-    return b"".join(parts)[1:]
+        parts.append(spelt[spans(start[some], many)].tobytes())
+        inside = ends[np.searchsorted(ends, low, side="right") : np.searchsorted(ends, low + len(some), side="right")]
+        place += (at + np.cumsum(many)[inside - low - 1]).tolist()
+        at += len(parts[-1])
+    place = [0] * int(np.searchsorted(ends, 0, side="right")) + place
+    whole = b"".join(parts)
+    return [whole[a + 1 : b] for a, b in zip(place, place[1:], strict=False)]
 
 
 def decoded(model: bytes, ids: list[int] | np.ndarray) -> str:
-    return decoded_bytes(model, np.asarray(ids, dtype=np.int64)).decode("utf-8", errors="replace")
+    return decoded_bytes(model, np.asarray(ids, dtype=np.int64))[0].decode("utf-8", errors="replace")
 
 
 # ---------------------------------------------------------------- distributed
@@ -308,11 +431,11 @@ def sampled(docs: DataFrame, keep: list[str], key: Column | None, path: str | No
                 said = part.column(len(names)).to_pylist()
                 found = own.sample([x or "" for x in said], part.column(len(names) + 1).to_pylist(), seed)
                 more: dict[str, pa.Array] = {}
+                ends, flat = np.cumsum([0, *map(len, found)]), np.concatenate([np.empty(0, dtype=np.int32), *found])
                 if "pieces" in wanted:
-                    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                    more["pieces"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, dtype=np.int32), *found])), mask=pa.array([x is None for x in said]))
+                    more["pieces"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=pa.array([x is None for x in said]))
                 if len(wanted) > 1:
-                    back = [None if x is None else decoded_bytes(model, ids) for x, ids in zip(said, found, strict=True)]
+                    back = [None if x is None else y for x, y in zip(said, decoded_bytes(model, flat, ends[1:]), strict=True)]
                     more["decoded_sha256"] = pa.array([None if x is None else hashlib.sha256(x).hexdigest() for x in back], type=pa.string())
                     more["lossless"] = pa.array([None if x is None else x == y.encode() for x, y in zip(back, said, strict=True)], type=pa.bool_())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(more[w] for w in wanted)], names=[*names, *wanted])
