@@ -7,9 +7,10 @@ the whole rest of the data, all of which would be read.
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,8 @@ from stratakv.plans.ranged import as_of, with_neighbours
 NAMED_PROBES, NAMED_RANGES = 16_384, 16
 #: Probes of a block, on average, up to which entries are compared with the probes of their block; more are sorted among them.
 SPARSE = 16
+#: Bytes of distinct probes, as measured, up to which they are broadcast; bytes that a row takes beside its columns, about.
+MOST_BROADCAST, ROW_BYTES = 8 << 20, 64
 
 
 def first(entries: DataFrame) -> DataFrame:
@@ -75,9 +78,28 @@ def walk(entries: DataFrame) -> DataFrame:
 
 
 def equal_to_many(probes: DataFrame, entries: DataFrame) -> DataFrame:
-    """(probe, key, val) for each probe row, nulls where the key is missing. Entries meet the distinct probes in an inner join, of which Spark can broadcast either side."""
+    """(probe, key, val) for each probe row, nulls where the key is missing. Few distinct probes are broadcast to the entries; more, and the entries, are sorted.
+
+    Which side is broadcast is not left to Spark: it takes a table to be as large as its compressed files, and sorted keys are many times that in memory.
+    """
     asked = probes.select("probe").where("probe is not null").distinct()
-    return _each(probes, asked.join(entries.select("key", "val"), F.col("probe") == F.col("key")))
+    few = _met(asked.agg(_bytes("probe").alias("n")).first().n)
+    return _each(probes, _sorted(few(asked).join(entries.select("key", "val"), F.col("probe") == F.col("key"))))
+
+
+def _bytes(*columns: str) -> Column:
+    """What rows of these columns take in memory, about, as an aggregate."""
+    return F.sum(sum((F.octet_length(F.col(c).cast("string")) for c in columns), F.lit(ROW_BYTES)))
+
+
+def _met(held: int | None) -> Callable[[DataFrame], DataFrame]:
+    """A hint for probes that are joined to entries, by the bytes that they hold."""
+    return F.broadcast if (held or 0) <= MOST_BROADCAST else _sorted
+
+
+def _sorted(df: DataFrame) -> DataFrame:
+    """df for a join that sorts both sides, whatever size Spark takes them to have."""
+    return df.hint("merge")
 
 
 def at_or_above_many(probes: DataFrame, entries: DataFrame) -> DataFrame:
@@ -145,10 +167,14 @@ def _in(probes: DataFrame, entries: DataFrame, index: DataFrame, up: bool) -> Da
     found, rows = named(probes, index, up)
     entries = blocks_read(entries, rows)
     asked = found.groupBy("file", "block").agg(F.array_sort(F.collect_list("probe")).alias("probes"))
-    mean = asked.agg(F.avg(F.size("probes")).alias("n")).first().n or 0 if rows is None else len(rows) / max(1, len({(r.file, r.block) for r in rows}))
+    few = F.broadcast  # NAMED_PROBES rows at most
+    if rows is None:
+        mean, held = found.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), _bytes("probe", "file").alias("held")).agg(F.avg("n"), F.sum("held")).first()
+        mean, few = mean or 0, _met(held)
+    else:
+        mean = len(rows) / max(1, len({(r.file, r.block) for r in rows}))
     if mean > SPARSE:
         return _each(probes, as_of(probes, entries.select("key", "val"), not up))
-    few = F.broadcast if rows is not None else lambda df: df  # NAMED_PROBES rows at most
     met = entries.select("key", "file", "block", "row").join(few(asked), ["file", "block"])
     near = F.filter("probes", (lambda p: p <= F.col("key")) if up else (lambda p: p >= F.col("key")))
     best = F.min if up else F.max  # entries are numbered by key, and numbers are aggregated without a sort

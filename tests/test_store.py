@@ -1,5 +1,6 @@
 import bisect
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +176,40 @@ def test_batch_of_seeks_reads_the_blocks_hit(spark, sparse, capsys):
     assert cursor.blocks_read(sparse.placed, []).count() == 0
 
 
+def test_seeks_of_many_probes_broadcast_no_entries(spark, tmp_path, capsys):
+    """Entries that compress well look small to Spark: 300,000 of them, in less than its 10 MB of a broadcast."""
+    df = spark.range(0, 600_000, 2)
+    r = Writer.builder().compression_type("zstd").build(str(tmp_path / "even")).insert(df.select(keys.be_u64(F.col("id")).alias("key"), keys.be_u64(F.col("id")).alias("val"))).into_inner()
+    for n, join in ((150_000, "SortMergeJoin"), (20_000, "BroadcastHashJoin")):
+        probes = spark.range(0, 4 * n).select(keys.be_u64(F.floor(F.col("id") / 4) * 3).alias("probe"))
+        found = r.seek_equal_to(probes)
+        found.explain()
+        plan = capsys.readouterr().out
+        assert re.findall(r"(\w+) \[probe#\d+\], \[key#\d+\], Inner(.*)", plan)[0] == (join, ", BuildLeft, false" if join[0] == "B" else "")
+        assert not re.search(r"BroadcastHashJoin \[probe#\d+\], \[__p#", plan)
+        rows = found.groupBy(F.col("key").isNull().alias("none"), (F.col("key") == F.col("probe")).alias("same"), (F.col("val") == F.col("probe")).alias("val")).count().collect()
+        assert sorted(tuple(x) for x in rows) == sorted([(False, True, True, 2 * n), (True, None, None, 2 * n)], key=str)
+
+
+def test_seeks_by_blocks_broadcast_no_entries(spark, sparse, monkeypatch, capsys):
+    monkeypatch.setattr(cursor, "NAMED_PROBES", 8)
+    asked = list(range(0, 24_020, 400))
+    probes = spark.createDataFrame([(n,) for n in asked], "n long").select(keys.be_u32(F.col("n")).alias("probe"))
+    for most in (0, 8 << 20):
+        monkeypatch.setattr(cursor, "MOST_BROADCAST", most, raising=False)
+        for up in (True, False):
+            found = (sparse.seek_greater_than_or_equal_to if up else sparse.seek_lower_than_or_equal_to)(probes)
+            found.explain()
+            joins = re.findall(r"(\w+) \[file#\d+, (?:block|row)#\d+L\], \[file#\d+, (block|row)#\d+L\], Inner(?:, (Build\w+))?", capsys.readouterr().out)
+            if most:
+                assert sorted(set(joins)) == [("BroadcastHashJoin", "block", "BuildLeft"), ("BroadcastHashJoin", "block", "BuildRight"), ("BroadcastHashJoin", "row", "BuildLeft")]
+            else:
+                assert sorted(set(joins)) == [("SortMergeJoin", "block", ""), ("SortMergeJoin", "row", "")]
+            spots = [bisect.bisect_left(SPARSE, n) if up else bisect.bisect_right(SPARSE, n) - 1 for n in asked]
+            expect = {n: SPARSE[k] if 0 <= k < len(SPARSE) else None for n, k in zip(asked, spots, strict=True)}
+            assert {int.from_bytes(x.probe, "big"): x.key and int.from_bytes(x.key, "big") for x in found.collect()} == expect
+
+
 def test_ranged_windows(spark):
     some = random.Random(3).sample(range(10_000), 700)
     df = spark.createDataFrame([(n,) for n in some], "key long")
